@@ -168,7 +168,7 @@ class WordTable:
     def ids(self, words: list) -> np.ndarray:
         got = list(map(self.index.get, words))
         if None in got:
-            new = list(set(words).difference(self.index))
+            new = list({w for w, i in zip(words, got) if i is None})
             if len(self.index) + len(new) > self.limit and self.index:
                 self.clear()
                 new = list(set(words))
@@ -180,7 +180,8 @@ class WordTable:
                 self.values = grown
             self.values[base : base + len(new)] = rows
             self.index.update(zip(new, range(base, base + len(new))))
-            got = list(map(self.index.__getitem__, words))
+            get = self.index.__getitem__
+            got = list(map(get, words)) if base == 0 else [get(w) if i is None else i for w, i in zip(words, got)]
         return np.array(got, dtype=np.int64)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import WordTable, crc_mod, map_arrow, slices, sums, table
 
-PER_LANGUAGE, MIN_CHARS, MAX_CHARS = 40, 200, 4000
+PER_LANGUAGE, MIN_CHARS, MAX_CHARS = 40, 200, 2000
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -77,6 +77,64 @@ class SuffixAutomaton:
         return n + (state != 0)
 
 
+#: A dense table of moves is kept up to this many entries; beyond, moves are looked up in a sorted array.
+DENSE_MOST = 8_000_000
+
+
+class Walker:
+    """Counts the phrases of many words at once, one character of all of them at a time, in numpy."""
+
+    def __init__(self, text: str):
+        moves = SuffixAutomaton(text).next
+        letters = sorted(set(text))
+        self.code = {ch: k for k, ch in enumerate(letters)}
+        self.lut = np.full(0x3000, len(letters), np.int32)
+        for ch, k in self.code.items():
+            if ord(ch) < len(self.lut):
+                self.lut[ord(ch)] = k
+        self.size = len(letters) + 1  # the last stands for characters that the text lacks
+        keys = np.array([s * self.size + self.code[ch] for s, m in enumerate(moves) for ch in m], np.int64)
+        to = np.array([t for m in moves for t in m.values()], np.int32)
+        if len(moves) * self.size <= DENSE_MOST:
+            self.dense = np.full(len(moves) * self.size, -1, np.int32)
+            self.dense[keys] = to
+        else:
+            self.dense = None
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order]
+
+    def _codes(self, points: np.ndarray) -> np.ndarray:
+        low = points < len(self.lut)
+        out = self.lut[np.where(low, points, 0)]
+        if not low.all():
+            out[~low] = [self.code.get(chr(p), self.size - 1) for p in points[~low].tolist()]
+        return out
+
+    def _move(self, key: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def phrases(self, points: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Phrases of words given as code points end to end; the words in order of falling length."""
+        codes = self._codes(points).astype(np.int64)
+        state = np.zeros(len(lens), np.int64)
+        n = np.zeros(len(lens), np.int64)
+        for j in range(int(lens[0]) if len(lens) else 0):
+            live = int(np.searchsorted(-lens, -j, side="left"))  # words longer than j
+            ch, at = codes[starts[:live] + j], state[:live]
+            to = self._move(at * self.size + ch)
+            failed = np.flatnonzero(to < 0)
+            if len(failed):
+                n[failed] += at[failed] > 0
+                again = self._move(ch[failed])
+                n[failed] += again < 0
+                to[failed] = np.maximum(again, 0)
+            state[:live] = to
+        return n + (state > 0)
+
+
 def fit(docs: DataFrame, allowed=None) -> dict[str, str]:
     """language -> training text, from rows where ``allowed`` holds."""
     usable = F.col("lang").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS) & F.col("doc_id").isNotNull()
@@ -98,13 +156,21 @@ def parser(model: dict[str, str]):
     if key not in _loaded:
         _loaded.clear()
         letters = re.compile(r"[^\W\d_]+").findall
-        automata = [SuffixAutomaton(" " + t + " ") for t in model.values()]
+        walkers = [Walker(" " + t + " ") for t in model.values()]
 
         def parse(words: list[str]) -> np.ndarray:
             runs = [letters(w) for w in words]
-            return np.array([[sum(a.phrases(f" {r} ") for r in rs) for a in automata] for rs in runs], dtype=np.int32).reshape(len(words), len(automata))
-
-        _loaded[key] = WordTable(parse, len(automata), limit=200_000)
+            padded = [f" {r} " for rs in runs for r in rs]
+            lens = np.array([len(r) for r in padded], dtype=np.int64)
+            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            order = np.argsort(-lens, kind="stable")
+            starts = (np.cumsum(lens) - lens)[order]
+            out = np.zeros((len(padded), len(walkers)), np.int64)
+            for k, w in enumerate(walkers):
+                out[order, k] = w.phrases(points, starts, lens[order])
+            return sums(out, np.array([len(rs) for rs in runs], dtype=np.int64))
+
+        _loaded[key] = WordTable(parse, len(walkers), limit=400_000)
     return _loaded[key]
 
 

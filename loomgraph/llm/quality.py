@@ -1,7 +1,7 @@
 """Quality rules: word and line counts, and tokeniser fertility in bands by language or script.
 
-Fertility of a text, over its words: characters per token of a byte-level vocabulary, share of byte-fallback pieces of a
-sentence-piece vocabulary, and entropy of the token distribution in bits.  A text outside the band of its language (or, where the
+Fertility of a text, over its words: characters per token of a byte-level vocabulary, share of characters for which a
+sentence-piece vocabulary falls back to bytes, and entropy of the token distribution in bits.  A text outside the band of its language (or, where the
 language is unknown, of its main script) is rejected.  Each distinct word is tokenised once per worker, with a leading space.
 
 Defined results: null or empty text has zero counts, base_failed true, kept false, and null measures; the entropy band applies to
@@ -12,6 +12,7 @@ results; a missing ``lang`` column counts as null.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordTable, combine, map_arrow, mix64, slices, sums, table, text_bytes, word_hashes
-from .tokencount import vocabulary_path
+from .tokencount import CACHE_WORDS, counter, vocabulary_path
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -40,17 +41,16 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 class Fertility(WordTable):
-    """word bytes -> (tokens, pieces, fallback pieces, where its token ids begin in ``flat``)."""
+    """word bytes -> (tokens, characters, characters that fall back to bytes, where its token ids begin in ``flat``)."""
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(byte_path)
-        self.tok.encode_special_tokens = True
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
-        super().__init__(self.measure, 4, limit=200_000)
+        self.tok = counter(byte_path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        # a character falls back to bytes exactly if it isn't a piece itself
+        self.own = frozenset(p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if len(p) == 1)
+        super().__init__(self.measure, 4, limit=CACHE_WORDS, dtype=np.int64)
 
     def clear(self) -> None:
         super().clear()
@@ -59,18 +59,18 @@ class Fertility(WordTable):
 
     def measure(self, words: list[bytes]) -> np.ndarray:
         texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [e.ids for e in self.tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        pieces = self.sp.encode(texts, num_threads=1)
-        n = np.array([len(x) for x in ids], dtype=np.int64)
+        encode, find, own = self.tok.encode, self.tok.find, self.own
+        ids = [encode(b" " + w) if t.isalpha() else [i for p in find(" " + t) for i in encode(p.encode())] for w, t in zip(words, texts)]
+        n = np.array(list(map(len, ids)), dtype=np.int64)
         total = int(n.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.uint16)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
+        self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
         start = self.used + np.cumsum(n) - n
         self.used += total
-        n_pieces = np.array([len(x) for x in pieces], dtype=np.int64)
-        fallback = sums(self.is_byte[np.fromiter((i for x in pieces for i in x), np.int64, int(n_pieces.sum()))].astype(np.int64), n_pieces)
-        return np.stack([n, n_pieces, fallback, start], axis=1)
+        size = np.array(list(map(len, texts)), dtype=np.int64)
+        fallback = [0 if own.issuperset(t) else sum(c not in own for c in t) for t in texts]
+        return np.stack([n, size, np.array(fallback, dtype=np.int64), start], axis=1)
 
 
 @lru_cache(maxsize=1)
@@ -146,7 +146,7 @@ def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     n_repeat = repeated_words(hashes, counts)
     ids = f.ids([w for ws in words for w in ws])
     v = f.values[ids].astype(np.int64)
-    n_tok, n_pieces, n_fall = (sums(v[:, k], counts) for k in range(3))
+    n_tok, n_own, n_fall = (sums(v[:, k], counts) for k in range(3))
     take = np.repeat(v[:, 3] - (np.cumsum(v[:, 0]) - v[:, 0]), v[:, 0]) + np.arange(int(v[:, 0].sum()))
     key = np.repeat(np.arange(len(texts), dtype=np.int64), n_tok) << 16 | f.flat[take]
     key.sort()
@@ -158,7 +158,7 @@ def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     safe = np.maximum(n_tok, 1)
     entropy = np.where(has, np.log2(safe) - weight / safe, 0.0)
     even = entropy / np.log2(np.minimum(np.maximum(n_tok, 2), 1000))
-    cpt, share = word_chars / safe, n_fall / np.maximum(n_pieces, 1)
+    cpt, share = word_chars / safe, n_fall / np.maximum(n_own, 1)
     failed = (counts < MIN_WORDS) | (100 * n_repeat > 30 * counts)
     kept = []
     for i, t in enumerate(texts):

@@ -11,6 +11,7 @@ does by default; repeated rows each give a row; an empty table gives none.  Othe
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import WordTable, map_arrow, slices, sums, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
+#: Distinct words a worker remembers at most.
+CACHE_WORDS = 1_000_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -30,42 +33,79 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def counter(path: str):
-    """(split, table): split(text) -> list of pre-tokens; table: pre-token -> number of pieces."""
-    import regex
-    from tokenizers import Tokenizer
-
-    import public_tokenizers
+class PieceCounter:
+    """Pieces of byte-level BPE pre-tokens, for a ``.json`` vocabulary.
+
+    Its tokens and ranks go into a rank-based merger, which gives the library's pieces of one pre-token at a tenth of its cost
+    (tests hold it against the library).  A text is cut at spaces first: between single spaces the pattern works on each chunk
+    alone, so the pre-tokens of a distinct chunk are looked up once; texts where spaces meet other white space go through the
+    pattern as a whole.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        to_byte = byte_of_char()
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.find = regex.compile(PATTERN).findall
+        self.special = sorted(special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if special else None
+        self.uneven = re.compile(r"  |\s \s").search
+        self.chunks = WordTable(self._count, 1, limit=CACHE_WORDS)
+
+    def _count(self, chunks: list[str]) -> np.ndarray:
+        """Pieces of each distinct chunk: mostly one pre-token, a word with the space before it."""
+        encode, find = self.encode, self.find
+        return np.array([len(encode(c.encode())) if c[1:].isalpha() and c[0] == " " else sum(len(encode(p.encode())) for p in find(c)) for c in chunks], dtype=np.int32).reshape(-1, 1)
+
+    def _plain(self, text: str) -> list[str]:
+        """Chunks whose counts add up to the text's."""
+        if self.uneven(text):
+            return self.find(text)
+        head, *rest = text.split(" ")
+        return [head] + [" " + c for c in rest]
+
+    def split(self, text: str) -> tuple[list[str], int]:
+        """Chunks, and the number of special strings between them."""
+        if self.cut is None or not any(x in text for x in self.special):
+            return self._plain(text), 0
+        parts = self.cut(text)
+        return [c for x in parts[::2] for c in self._plain(x)], len(parts) // 2
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        got = [self.split(t) for t in texts]
+        flat = [c for chunks, _ in got for c in chunks]
+        ids = self.chunks.ids(flat)
+        return sums(self.chunks.values[ids, 0], np.array([len(c) for c, _ in got], dtype=np.int64)) + np.array([n for _, n in got], dtype=np.int64)
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    find = regex.compile(public_tokenizers.PATTERN).findall
-    special = [x.content for x in tok.get_added_tokens_decoder().values()]
-    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
-    def split(text: str) -> list[str]:
-        if cut is not None and any(s in text for s in special):
-            return [w for i, part in enumerate(cut(text)) for w in ([part] if i % 2 else find(part))]
-        return find(text)
-
-    def pieces(words: list[str]) -> np.ndarray:
-        return np.array([len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)], dtype=np.int32).reshape(-1, 1)
-
-    return split, WordTable(pieces, 1)
+@lru_cache(maxsize=2)
+def counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def work(batches):
-        split, pieces = counter(path)
+        count = counter(path)
         for batch in batches:
             for part in slices(batch):
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                words = [split(x) for x in texts]
-                flat = [w for ws in words for w in ws]
-                ids = pieces.ids(flat)
-                n = sums(pieces.values[ids, 0], np.array([len(w) for w in words], dtype=np.int64))
+                n = count.counts(texts)
                 size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
