@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from loomgraph.sources.shared import materialize
 
 MAX_ROUNDS = 60
 
