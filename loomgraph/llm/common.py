@@ -5,18 +5,20 @@ Everything here is deterministic across processes: hashes come from fixed tables
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import materialize, shared_dir, table
+
+__all__ = ["materialize", "shared_dir", "table"]
+
 #: Bytes of text worked on at once inside a Python worker; bounds the numpy temporaries (about 60 bytes per text byte).
 SLICE_BYTES = 1 << 20
 
@@ -28,21 +30,6 @@ _TABLE = _rng.integers(0, 2**64, size=_POSITIONS * 256, dtype=np.uint64)
 _MIX = _rng.integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"/tmp/checkpoints/loomgraph-{os.getpid()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _shipped: set = set()
 
 
@@ -60,10 +47,6 @@ def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def crc_mod(col: str, n: int):
     """crc32 of an id written as text, modulo ``n``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
