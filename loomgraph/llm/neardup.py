@@ -211,7 +211,7 @@ def join_links(docs: DataFrame):
     pairs = materialize(bounded.select("a", "b"), "shingle-pairs")
     links = materialize(_verified(pairs, docs, sets), "shingle-links")
 
-    label = links.groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("label"))
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), F.col("component").alias("label"))
     named = met.select("key", "sid").distinct().join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     split = named.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").select("key", "sid", "label")
     split = split.join(sets.drop("owner"), "sid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT))).cast("int"))
