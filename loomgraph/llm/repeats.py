@@ -137,44 +137,68 @@ def surroundings(joined: DataFrame) -> DataFrame:
     return map_arrow(joined, work, "key long, mark long, tid long, place int, around binary")
 
 
-def _groups(order: list[int], common: list[int], least: int) -> np.ndarray:
+#: Up to so many surroundings are compared by pairs, from the common prefixes of neighbours.
+PAIRS_MOST = 16
+
+
+def _groups(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     """Numbers such that two strings have equal ones if they agree on ``least`` characters at least."""
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(np.array(common) < least)
+    out[order] = np.cumsum(common < least)
+    return out
+
+
+def _shared(order: list[int], common: list[int]) -> list[list[int]]:
+    """Common prefix lengths of all pairs: the least between them in sorted order."""
+    n = len(order)
+    out = [[0] * n for _ in range(n)]
+    for a in range(n):
+        least, x = LENGTH, order[a]
+        for b in range(a + 1, n):
+            least = min(least, common[b])
+            out[x][order[b]] = out[order[b]][x] = least
     return out
 
 
-def repeated_runs(around: list[tuple[bytes, bool]]) -> list[list[tuple[int, int]]]:
-    """Per surroundings of one key, runs (from, to; relative to the anchor) that repeated strings cover.
+def repeated_runs(around: list[tuple[bytes, bool]]) -> list[tuple[int, int] | None]:
+    """Per surroundings of one key, the run (from, to; relative to the anchor) that repeated strings cover, or None.
 
-    ``around``: (bytes, whether found twice or more as a whole), distinct.
+    ``around``: (bytes, whether found twice or more as a whole), distinct.  All strings hold the anchor, so the run is one.
     """
     lefts = [b[2 : 2 + int.from_bytes(b[:2], "big")] for b, _ in around]
     rights = [b[2 + len(x) :] for (b, _), x in zip(around, lefts)]
     n = len(around)
-    whole = [[(-len(x), len(y))] if twice and len(x) + len(y) >= LENGTH else [] for x, y, (_, twice) in zip(lefts, rights, around)]
+    out: list[tuple[int, int] | None] = [(-len(x), len(y)) if twice and len(x) + len(y) >= LENGTH else None for x, y, (_, twice) in zip(lefts, rights, around)]
     if n == 1:
-        return whole
+        return out
     to_right, to_left = deep_shallow(rights), deep_shallow([x[::-1] for x in lefts])
-    if n == 2:
-        x, y = to_left[1][1], to_right[1][1]
-        return [w or ([(-x, y)] if x + y >= LENGTH else []) for w in whole]
-    out: list[list[tuple[int, int]]] = [list(w) for w in whole]
-    far_left, far_right = max(to_left[1]), max(to_right[1])
-    for d in range(max(0, LENGTH - far_right), min(LENGTH - ANCHOR, far_left) + 1):
-        both = _groups(*to_left, d) * (n + 1) + _groups(*to_right, LENGTH - d)
+    if n <= PAIRS_MOST:
+        left, right = _shared(*to_left), _shared(*to_right)
+        for i in range(n):
+            if out[i] is None:
+                agree = [(x, y) for j, (x, y) in enumerate(zip(left[i], right[i])) if j != i and x + y >= LENGTH]
+                if agree:
+                    out[i] = (-max(x for x, _ in agree), max(y for _, y in agree))
+        return out
+    # strings that begin d before the anchor agree where d characters to the left and LENGTH - d to the right do; the groups change
+    # only where d passes a common prefix length
+    (lo, lc), (ro, rc) = ((np.array(o), np.array(c)) for o, c in (to_left, to_right))
+    first, last = max(0, LENGTH - int(rc.max())), min(LENGTH - ANCHOR, int(lc.max()))
+    edges = np.unique(np.concatenate(([first, last + 1], lc + 1, LENGTH - rc)))
+    edges = edges[(edges >= first) & (edges <= last + 1)]
+    begin, end = np.ones(n, np.int64), np.zeros(n, np.int64)
+    for d, after in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        # at the far end of the stretch more is asked of the left; within it the groups are the same
+        both = _groups(lo, lc, d) * (n + 1) + _groups(ro, rc, LENGTH - d)
         order = np.argsort(both, kind="stable")
         same = both[order][1:] == both[order][:-1]
         twin = np.zeros(n, bool)
         twin[order[1:][same]] = twin[order[:-1][same]] = True
-        for i in np.flatnonzero(twin).tolist():
-            runs = out[i]
-            if whole[i] or d > len(lefts[i]) or LENGTH - d > len(rights[i]):
-                continue
-            if runs and runs[-1][0] == 1 - d:
-                runs[-1] = (-d, runs[-1][1])
-            else:
-                runs.append((-d, LENGTH - d))
+        begin[twin] = np.minimum(begin[twin], 1 - after)
+        end[twin] = np.maximum(end[twin], LENGTH - d)
+    for i in np.flatnonzero(end > 0).tolist():
+        if out[i] is None:
+            out[i] = (int(begin[i]), int(end[i]))
     return out
 
 
@@ -182,9 +206,9 @@ def sorted_runs(distinct: DataFrame) -> DataFrame:
     """Rows (key, mark, around, twice), all of a key together -> (key, mark, lo, hi)."""
 
     def flush(key, group, out):
-        for (mark, _, _), runs in zip(group, repeated_runs([(a, t) for _, a, t in group])):
-            for lo, hi in runs:
-                for column, v in zip(out, (key, mark, lo, hi)):
+        for (mark, _, _), run in zip(group, repeated_runs([(a, t) for _, a, t in group])):
+            if run:
+                for column, v in zip(out, (key, mark, *run)):
                     column.append(v)
 
     def batch_of(out):
