@@ -17,9 +17,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write ``df`` into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table replaces the shuffles that led to it.  Spark removes the files of a shuffle once the driver has collected its last
+    reference, which by itself may come late, so a collection is asked for here; the removal itself is Spark's own.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
