@@ -20,6 +20,8 @@ doc_id are one node; a null doc_id has component_id null; an empty table gives n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,8 @@ BITS = 512
 COUNT_SPAN, COMMON_MOST = 4_000_000, 100_000
 #: Prefix keys of one set are sent once per task; the memory of which were is bounded.
 SEEN_MOST = 1_000_000
+#: Pairs are verified in so many turns, whose shuffles (an array per pair) are not on disk at once.
+TURNS = 2
 
 
 def shingle_sets(part: pa.RecordBatch):
@@ -162,7 +166,7 @@ def _bounded(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays."""
+    """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays; a written table."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     owners = ids.join(sets.select("sid", "owner"), "sid").select(F.col("owner").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(owners, "doc_id", "left_semi")
@@ -173,8 +177,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 got = [s for s in shingle_sets(part) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sid", "elements"])
 
-    e = map_arrow(texts, arrays, "sid long, elements binary")
-    joined = pairs.join(e.select(F.col("sid").alias("b"), F.col("elements").alias("eb")), "b").join(e.select(F.col("sid").alias("a"), F.col("elements").alias("ea")), "a")
+    e = materialize(map_arrow(texts, arrays, "sid long, elements binary"), "shingle-arrays")
+    ea, eb = e.select(F.col("sid").alias("a"), F.col("elements").alias("ea")), e.select(F.col("sid").alias("b"), F.col("elements").alias("eb"))
 
     def intersect(batches):
         for batch in batches:
@@ -187,7 +191,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             t = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"])
 
-    return map_arrow(joined.select("a", "b", "ea", "eb"), intersect, "a long, b long")
+    done = []
+    for turn in range(TURNS):
+        joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn).join(eb, "b").join(ea, "a")
+        done.append(materialize(map_arrow(joined.select("a", "b", "ea", "eb"), intersect, "a long, b long"), "shingle-links"))
+    return reduce(DataFrame.union, done)
 
 
 def join_links(docs: DataFrame):
@@ -209,7 +217,7 @@ def join_links(docs: DataFrame):
     x, y = sets.drop("owner").alias("x"), sets.drop("owner").alias("y")
     bounded = star.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
     pairs = materialize(bounded.select("a", "b"), "shingle-pairs")
-    links = materialize(_verified(pairs, docs, sets), "shingle-links")
+    links = _verified(pairs, docs, sets)
 
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), F.col("component").alias("label"))
     named = met.select("key", "sid").distinct().join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -225,7 +233,7 @@ def join_links(docs: DataFrame):
     if more.isEmpty():
         everything = links
     else:
-        everything = links.union(materialize(_verified(more, docs, sets), "shingle-links"))
+        everything = links.union(_verified(more, docs, sets))
     members = rows.where("NOT common").select("doc_id", "n", F.col("f0").alias("sid")).join(sets.select("sid", "owner"), "sid", "left")
     return members, everything, sets
 
