@@ -195,9 +195,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     for turn in range(TURNS):
         joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn).join(eb, "b").join(ea, "a")
         done.append(materialize(map_arrow(joined.select("a", "b", "ea", "eb"), intersect, "a long, b long"), "shingle-links"))
+    _remove(e)
     return reduce(DataFrame.union, done)
 
 
+def _remove(written: DataFrame) -> None:
+    """Delete a written table from the shared folder, once what was read from it is written itself."""
+    files, spark = written.inputFiles(), written.sparkSession
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_links(docs: DataFrame):
     """(documents: doc_id, n, sid, owner; links: a, b between set ids).  owner is the least doc_id with the set."""
     spark = docs.sparkSession
