@@ -6,7 +6,8 @@ A document is its set of hashed five-word shingles.  Two link when 100 * interse
    to it), and counts of shingles common within a task.  Equal sets are one node from here on.
 2. A second pass gives each set the floor(n / 5) + 1 first elements of one global order, common shingles last.  Sets that link
    share one of these, whatever the order is; so nothing is lost, and putting common shingles last only keeps groups small.
-3. Sets that share such a key are compared first with one set of their group (the star), then across what the star left apart:
+3. Sets that share such a key are compared first with one set of their group (the star; each set's nearest center by bits first,
+   then the centers it isn't connected with yet), then across what the stars left apart:
    rows meet within a tile (key, size band); sizes and bit counts bound the intersection from above -
    popcount(a xor b) elements at least are in one set only - and what remains is settled by intersecting the sorted arrays.
 4. Components of the links give the classes.
@@ -20,8 +21,6 @@ doc_id are one node; a null doc_id has component_id null; an empty table gives n
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +39,8 @@ BITS = 512
 COUNT_SPAN, COMMON_MOST = 4_000_000, 100_000
 #: Prefix keys of one set are sent once per task; the memory of which were is bounded.
 SEEN_MOST = 1_000_000
-#: Pairs are verified in so many turns, whose shuffles (an array per pair) are not on disk at once.
-TURNS = 2
+#: Partners of one set that are verified in one group; larger stars are split.
+STAR = 512
 
 
 def shingle_sets(part: pa.RecordBatch):
@@ -157,54 +156,64 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return map_arrow(docs.select("text"), work, "sid long, n int, keys array<long>")
 
 
+def _xor(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in BIT_COLUMNS)
+
+
+def _distance(a: str, b: str):
+    return F.expr(_xor(a, b))
+
+
 def _bounded(a: str, b: str):
     """Whether sizes and bit counts leave a link possible: I >= 0.8 U means 9 I >= 4 (na + nb)."""
-    xor = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in BIT_COLUMNS)
+    xor = _xor(a, b)
     small, large = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)"
     upper = f"least({small}, ({a}.n + {b}.n - ({xor})) div 2)"
     return F.expr(f"100L * {small} >= {PER_CENT}L * {large} AND {100 + PER_CENT}L * ({upper}) >= {PER_CENT}L * ({a}.n + {b}.n)")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays; a written table."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    owners = ids.join(sets.select("sid", "owner"), "sid").select(F.col("owner").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(owners, "doc_id", "left_semi")
+    """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays; a written table.
+
+    The texts of a and its partners meet once per star, and their arrays are made there: a text takes less disk than its array, and
+    none is sent once per pair.  Stars of more than about STAR partners are split, with a copy of a in each part.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    partner = pairs.join(parts, "a").select("a", F.col("b").alias("sid"), F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
+    center = parts.select("a", F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = partner.union(center).join(sets.select("sid", "owner"), "sid").select(F.col("owner").alias("doc_id"), "a", "part", "sid")
+    met = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "text")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("sid") != F.col("a"))
 
-    def arrays(batches):
+    def intersect(batches):
+        star, mine = None, None
         for batch in batches:
             for part in slices(batch):
-                got = [s for s in shingle_sets(part) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sid", "elements"])
+                a, b = [], []
+                for hub, sid, s in zip(part.column("a").to_pylist(), part.column("sid").to_pylist(), shingle_sets(part)):
+                    if not len(s) or fingerprint(s)[0] != sid:
+                        continue  # another text under the same doc_id
+                    if sid == hub:
+                        star, mine = hub, s
+                        continue
+                    assert star == hub, "a star without its center"
+                    inter = len(mine) + len(s) - len(np.unique(np.concatenate((mine, s))))
+                    if 100 * inter >= PER_CENT * (len(mine) + len(s) - inter):
+                        a.append(hub), b.append(sid)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    e = materialize(map_arrow(texts, arrays, "sid long, elements binary"), "shingle-arrays")
-    ea, eb = e.select(F.col("sid").alias("a"), F.col("elements").alias("ea")), e.select(F.col("sid").alias("b"), F.col("elements").alias("eb"))
+    return materialize(map_arrow(met, intersect, "a long, b long"), "shingle-links")
 
-    def intersect(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                inter = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                if 100 * inter >= PER_CENT * (len(x) + len(y) - inter):
-                    keep.append(i)
-            t = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"])
-
-    done = []
-    for turn in range(TURNS):
-        joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn).join(eb, "b").join(ea, "a")
-        done.append(materialize(map_arrow(joined.select("a", "b", "ea", "eb"), intersect, "a long, b long"), "shingle-links"))
-    _remove(e)
-    return reduce(DataFrame.union, done)
-
-
-def _remove(written: DataFrame) -> None:
-    """Delete a written table from the shared folder, once what was read from it is written itself."""
-    files, spark = written.inputFiles(), written.sparkSession
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose ends have different labels; a set without a label is its own."""
+    la, lb = (label.select(F.col("sid").alias(k), F.col("label").alias("l" + k)) for k in "ab")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(sid, label) of the sets that have a link."""
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), F.col("component").alias("label"))
 
 
 def join_links(docs: DataFrame):
@@ -213,22 +222,26 @@ def join_links(docs: DataFrame):
     rows = materialize(features(docs), "shingle-features")
     counted = rows.where("common").groupBy("f0").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "f0").limit(COMMON_MOST)
     common = np.array([r.f0 for r in reversed(counted.collect())], np.int64).view(np.uint64)
-    mine = rows.where("NOT common AND n > 0")
+    mine = rows.where("NOT common AND n > 0 AND doc_id IS NOT NULL")
     agg = [F.min("doc_id").alias("owner"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in BIT_COLUMNS]]
     sets = materialize(mine.groupBy(F.col("f0").alias("sid")).agg(*agg), "shingle-sets")
 
-    keyed = prefixes(docs, common).select("sid", "n", F.explode("keys").alias("key"))
+    keyed = prefixes(docs, common).select("sid", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
-    met = keyed.withColumns({"center": F.min("sid").over(w), "other": F.max("sid").over(w)}).where("center <> other").select("key", "sid", "n", "center")
+    met = keyed.withColumns({"center": F.min("sid").over(w), "other": F.max("sid").over(w)}).where("center <> other").select("key", "sid", "center")
     met = materialize(met, "shingle-keys")
 
     star = met.where("sid <> center").select(F.col("center").alias("a"), F.col("sid").alias("b")).distinct()
     x, y = sets.drop("owner").alias("x"), sets.drop("owner").alias("y")
     bounded = star.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
-    pairs = materialize(bounded.select("a", "b"), "shingle-pairs")
-    links = _verified(pairs, docs, sets)
-
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+    pairs = materialize(bounded.select("a", "b", _distance("x", "y").alias("d")), "shingle-pairs")
+    best = materialize(pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b"), "shingle-best")
+    links = _verified(best, docs, sets)
+    label = _labels(links)
+    rest = materialize(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "shingle-pairs")
+    if not rest.isEmpty():
+        links = links.union(_verified(rest, docs, sets))
+        label = _labels(links)
     named = met.select("key", "sid").distinct().join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     split = named.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").select("key", "sid", "label")
     split = split.join(sets.drop("owner"), "sid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT))).cast("int"))
