@@ -5,12 +5,13 @@ sentence-piece vocabulary falls back to bytes, and entropy of the token distribu
 language is unknown, of its main script) is rejected.  Each distinct word is tokenised once per worker, with a leading space.
 
 Defined results: null or empty text has zero counts, base_failed true, kept false, and null measures; the entropy band applies to
-the entropy over log2 of the number of tokens it could have at most, so that short texts aren't at a loss; repeated rows get equal
+the entropy over log2 of the number of tokens it could have at most, by size class; repeated rows get equal
 results; a missing ``lang`` column counts as null.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import chain
 
@@ -27,15 +28,21 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 MIN_WORDS = 20
-#: (least, most characters per token; most byte-fallback share; least evenness of tokens), by language, else by script.
+#: Evenness falls with the length of a text, so its bound goes by size class: up to so many tokens each, then all longer texts.
+SIZES = (128, 256, 512, 1024)
+#: ``derive_bands`` puts bounds at this outer share of clean texts; a size class of fewer than FEW texts takes the next larger one's bound.
+OUTER, FEW = 0.001, 20
+#: (least, most characters per token; most byte-fallback share; least evenness of tokens by size class), by language, else by script.
+#: Languages: ``derive_bands`` of the texts of sf0.1 labelled clean.  Scripts have no labelled texts: Latin takes the least evenness of
+#: its languages, all else is a wide guess.
 BANDS = {
-    "en": (1.70, 6.5, 0.02, 0.60),
-    "de": (1.55, 6.5, 0.02, 0.60),
-    "fr": (1.40, 6.5, 0.02, 0.60),
-    "es": (1.50, 6.5, 0.02, 0.60),
-    "script:latin": (1.30, 7.0, 0.05, 0.50),
-    "script:cyrillic": (0.60, 6.0, 0.10, 0.50),
-    "script:other": (0.20, 6.0, 0.60, 0.40),
+    "en": (2.106, 2.47, 0.02, (0.825, 0.768, 0.713, 0.673, 0.67)),
+    "de": (1.876, 2.183, 0.02, (0.756, 0.756, 0.704, 0.654, 0.65)),
+    "fr": (1.706, 2.074, 0.02, (0.746, 0.746, 0.685, 0.638, 0.637)),
+    "es": (1.643, 1.994, 0.02, (0.723, 0.723, 0.677, 0.64, 0.64)),
+    "script:latin": (1.3, 7.0, 0.05, (0.723, 0.723, 0.677, 0.638, 0.637)),
+    "script:cyrillic": (0.6, 6.0, 0.1, (0.5, 0.5, 0.5, 0.5, 0.5)),
+    "script:other": (0.2, 6.0, 0.6, (0.4, 0.4, 0.4, 0.4, 0.4)),
 }
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, fallback_share double, token_evenness double"
 
@@ -130,6 +137,23 @@ def rules(docs: DataFrame, byte_path: str, piece_path: str, bands: dict | None =
     return map_arrow(docs.select("doc_id", "text", lang.alias("lang")), work, SCHEMA)
 
 
+def derive_bands(measured: DataFrame, clean: DataFrame, outer: float = OUTER) -> dict:
+    """Bands by language, from rows of ``rules``: ``clean`` (doc_id, lang) names the texts that bands are to hold but for outer shares."""
+    size = F.round(F.col("word_chars") / F.col("chars_per_token"))
+    n_class = sum((size > s).cast("int") for s in SIZES)
+    rows = measured.where("NOT base_failed").join(clean.select("doc_id", "lang").distinct(), "doc_id").withColumn("class", n_class)
+    ends = {r.lang: r for r in rows.groupBy("lang").agg(F.percentile("chars_per_token", F.lit(outer)).alias("lo"), F.percentile("chars_per_token", F.lit(1 - outer)).alias("hi")).collect()}
+    least = {(r.lang, r["class"]): r.e for r in rows.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.percentile("token_evenness", F.lit(outer)).alias("e")).where(F.col("n") >= FEW).collect()}
+    out = {}
+    for lang, r in sorted(ends.items()):
+        bound, by_class = 0.0, []
+        for k in reversed(range(len(SIZES) + 1)):
+            bound = least.get((lang, k), bound)
+            by_class.append(math.floor(1000 * bound) / 1000)
+        out[lang] = (math.floor(1000 * r.lo) / 1000, math.ceil(1000 * r.hi) / 1000, 0.02, tuple(reversed(by_class)))
+    return out
+
+
 def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     texts = [x or "" for x in part.column("text").to_pylist()]
     langs = part.column("lang").to_pylist()
@@ -160,12 +184,13 @@ def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     even = entropy / np.log2(np.minimum(np.maximum(n_tok, 2), 1000))
     cpt, share = word_chars / safe, n_fall / np.maximum(n_own, 1)
     failed = (counts < MIN_WORDS) | (100 * n_repeat > 30 * counts)
+    size = np.searchsorted(SIZES, n_tok)
     kept = []
     for i, t in enumerate(texts):
         ok = not failed[i]
         if ok:
             lo, hi, most, least = bands[langs[i]] if langs[i] in bands else bands[main_script(t)]
-            ok = bool(lo <= cpt[i] <= hi and share[i] <= most and even[i] >= least)
+            ok = bool(lo <= cpt[i] <= hi and share[i] <= most and even[i] >= least[size[i]])
         kept.append(ok)
     f8 = lambda x: pa.array(x, pa.float64(), mask=~has)
     i8 = lambda x: pa.array(x, pa.int64())

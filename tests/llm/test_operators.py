@@ -206,3 +206,15 @@ def test_empty_tables(spark):
 def test_odd_rows_of_near_duplicates(odd):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in neardup.classes(odd).collect())
     assert (1, 0, 1) in got and got.count((4, 1, 4)) == 2 and (0, 1, None) in got
+
+
+def test_quality_bands_separate(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    paths = tokencount.vocabulary_path(quality.BYTE_VOCABULARY), tokencount.vocabulary_path(quality.PIECE_VOCABULARY)
+    measured = quality.rules(docs, *paths).cache()
+    clean = docs.join(labels.where("quality = 1"), "doc_id")
+    assert quality.derive_bands(measured, clean) == {k: v for k, v in quality.BANDS.items() if ":" not in k}
+    base = measured.where("NOT base_failed").join(labels, "doc_id")
+    share = {r.quality: r.s for r in base.groupBy("quality").agg({"kept": "count"}).join(base.where("kept").groupBy("quality").count().withColumnRenamed("count", "k"), "quality").selectExpr("quality", "k / `count(kept)` AS s").collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.1
+    measured.unpersist()
