@@ -5,17 +5,20 @@ is within floor(SHARE * words of the item) word edits of the item.
 
 1. Items are put into bands of similar length; each band has one window size.  Every window of every document is looked at; one goes
    on if it has so many of the band's word trigrams as a stretch within the edit bound must have: an edit destroys three trigrams at
-   most, so n words keep n - 2 - 3 * edits of theirs (a bound, nothing is lost).
+   most, so n words keep n - 2 - 3 * edits of theirs (a bound, nothing is lost).  Items of fewer than ``LEAST_WORDS`` words, for which
+   that bound says nothing, go by word pairs in the same way, items of one word by the word.
 2. The CGK random walk maps each window and item to a string of three times its length: copy the word the walk stands on, step on by a
-   bit hashed from (walk, step, word).  Edit distance becomes Hamming distance.  Bit sampling takes ``BITS`` places of it as a key;
-   ``WALKS`` walks times ``TABLES`` keys each reach the target recall.
-3. Windows that share a key with an item are verified by exact approximate matching (bit-parallel edit distance, any start and end)
-   of the item in the stretch around the window.
+   bit hashed from (walk, step, word).  Edit distance becomes Hamming distance.  Bit sampling takes ``BITS`` places of it as a key,
+   by ``WALKS`` walks times ``TABLES`` keys each.  Windows that share a key with an item are verified by exact approximate matching
+   (bit-parallel edit distance, any start and end) of the item in the stretch around the window.
+3. The walk loses more the longer items are and the more words were inserted or deleted, so it isn't relied on: wherever a stretch holds
+   as many of an item's own trigrams as the bound asks for, the item is verified there too.  Every match within the edit bound is
+   found, at any length (recall 1).
 
 Items are a stated query set: they are read in blocks of ``BLOCK``, each broadcast, against all documents.
 
-Defined results: null or wordless texts and items match nothing; items of fewer than ``LEAST_WORDS`` words are left out (too short to
-be evidence); repeated rows each give their rows; a document and item match once, with the least distance and then the first end.
+Defined results: null or wordless texts and items match nothing; items of fewer than 5 words have no edit to give and match exact copies
+only; repeated rows each give their rows; a document and item match once, with the least distance and then the first end.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHARE = 0.2
 LEAST_WORDS = 8
 WALKS, TABLES, BITS = 4, 12, 4
 BLOCK = 5000
+#: Items whose trigrams are looked up together; bounds the pairs (place, item) held at once.
+GROUP = 64
 #: Window sizes are powers of this.
 BAND = 1.1
 SCHEMA = "doc_id long, item_id long, distance int, end_word int"
@@ -107,6 +112,10 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
     return best
 
 
+def _grams(words: int) -> int:
+    return 3 if words >= LEAST_WORDS else min(words, 2)
+
+
 class Items:
     """A block of benchmark items, ready for search."""
 
@@ -115,50 +124,65 @@ class Items:
         ends = np.cumsum(counts)
         self.ids, self.words, self.most, self.bands = [], [], [], {}
         for i, (n, e) in zip(ids, zip(counts.tolist(), ends.tolist())):
-            if n >= LEAST_WORDS and i is not None:
+            if n and i is not None:
                 self.ids.append(i)
                 self.words.append(hashes[e - n : e])
                 self.most.append(int(SHARE * n))
-                size = max(LEAST_WORDS, round(BAND ** round(np.log(n) / np.log(BAND))))
+                size = n if n < LEAST_WORDS else max(LEAST_WORDS, round(BAND ** round(np.log(n) / np.log(BAND))))
                 self.bands.setdefault(size, []).append(len(self.ids) - 1)
+        n, most = np.array(list(map(len, self.words)), np.int64), np.array(self.most, np.int64)
+        grams = np.array([_grams(k) for k in n.tolist()], np.int64)
+        self.reach, self.need = n + most, n - grams + 1 - grams * most
         self.tables = {}
-        self.known = np.zeros(1 << TRIGRAM_BITS, np.uint64)  # which bands have a trigram; sizes up to 1.1 ** 64 words fit
+        self.known = {g: np.zeros(1 << TRIGRAM_BITS, np.uint64) for g in sorted(set(grams.tolist()))}  # which bands have an n-gram, as bits; bands beyond 64 share them
         for size, members in self.bands.items():
-            width = max(len(self.words[k]) for k in members)
-            rows = np.zeros((len(members), width), np.uint64)
-            for r, k in enumerate(members):
-                rows[r, : len(self.words[k])] = self.words[k]
-            keys = keys_of(rows, size)
-            flat, owner = keys.ravel(), np.repeat(np.array(members), keys.shape[1])
-            order = np.argsort(flat, kind="stable")
-            bit = np.uint64(1 << len(self.tables))
-            for k in members:
-                self.known[_low(combine(self.words[k], 3))] |= bit
-            reach = max(len(self.words[k]) + self.most[k] for k in members)
-            need = min(len(self.words[k]) - 2 - 3 * self.most[k] for k in members)
-            self.tables[size] = (flat[order], owner[order], bit, reach, max(1, need))
+            g = _grams(size)
+            keys = owner = None
+            if g == 3:
+                width = max(len(self.words[k]) for k in members)
+                rows = np.zeros((len(members), width), np.uint64)
+                for r, k in enumerate(members):
+                    rows[r, : len(self.words[k])] = self.words[k]
+                keys = keys_of(rows, size)
+                flat, owner = keys.ravel(), np.repeat(np.array(members), keys.shape[1])
+                order = np.argsort(flat, kind="stable")
+                keys, owner = flat[order], owner[order]
+            bit = np.uint64(1 << len(self.tables) % 64)
+            groups = []
+            for lo in range(0, len(members), GROUP):
+                own = [np.unique(combine(self.words[k], g)) for k in members[lo : lo + GROUP]]
+                flat, holder = np.concatenate(own), np.repeat(np.array(members[lo : lo + GROUP]), list(map(len, own)))
+                self.known[g][_low(flat)] |= bit
+                order = np.argsort(flat, kind="stable")
+                groups.append((flat[order], holder[order]))
+            self.tables[size] = (g, keys, owner, bit, int(self.reach[members].max()), int(self.need[members].min()), groups)
 
     def search(self, hashes: np.ndarray, counts: np.ndarray):
         """(row, item, distance, end) of each match in rows of words."""
-        if len(hashes) < LEAST_WORDS - 1:
-            return []
-        trigrams = _low(combine(hashes, 3))
         ends = np.cumsum(counts)
         row_of = np.repeat(np.arange(len(counts)), counts)
-        marks = self.known[trigrams]
-        places = np.flatnonzero((marks != 0) & (row_of[2:] == row_of[:-2]))
-        marks = marks[places]
+        seen = {}
+        for g, known in self.known.items():
+            grams = combine(hashes, g)
+            marks = known[_low(grams)]
+            places = np.flatnonzero((marks != 0) & (row_of[g - 1 :] == row_of[: len(row_of) - g + 1])) if len(grams) else np.zeros(0, np.int64)
+            seen[g] = grams, places, marks[places]
         found: dict[tuple[int, int], tuple[int, int]] = {}
         tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for size, (keys, owners, bit, reach, need) in self.tables.items():
+        for size, (g, keys, owners, bit, reach, need, groups) in self.tables.items():
+            grams, places, marks = seen[g]
             p = places[(marks & bit) != 0]
             if len(p) < need:
                 continue
             a, z = p[: len(p) - need + 1], p[need - 1 :]
-            near = (z - a <= reach - 3) & (row_of[a] == row_of[z])
+            near = (z - a <= reach - g) & (row_of[a] == row_of[z])
             a, z = a[near], z[near]
             if not len(a):
                 continue
+            for own in groups:
+                self._bounded(p, g, grams, own, row_of, hashes, counts, ends, found)
+            if g < 3:
+                continue
             # every start whose stretch of ``reach`` words holds ``need`` known trigrams
             heads = ends[row_of[a]] - counts[row_of[a]]
             lo = np.maximum(heads, z - (reach - 3))
@@ -184,6 +208,33 @@ class Items:
                         k += 1
         return [(r, self.ids[i], d, e) for (r, i), (d, e) in sorted(found.items())]
 
+    def _bounded(self, p, g, grams, own, row_of, hashes, counts, ends, found):
+        """Verify each item of a group wherever a stretch holds as many of its own n-grams as the edit bound asks for."""
+        flat, holder = own
+        first = np.searchsorted(flat, grams[p])
+        n = np.searchsorted(flat, grams[p], side="right") - first
+        place = np.repeat(p, n)
+        item = holder[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        far = np.arange(len(place)) + self.need[item] - 1
+        last = np.minimum(far, len(place) - 1)
+        row = row_of[place]
+        near = (far == last) & (item[last] == item) & (row[last] == row) & (place[last] - place <= self.reach[item] - g)
+        a, z, item, row = place[near], place[last[near]], item[near], row[near]
+        if not len(a):
+            return
+        lo = np.maximum(ends[row] - counts[row], z + g - self.reach[item])
+        hi = np.minimum(ends[row], a + self.reach[item])
+        head = np.concatenate(([True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])))
+        tail = np.append(head[1:], True)
+        for k, r, b, e in zip(item[head].tolist(), row[head].tolist(), lo[head].tolist(), hi[tail].tolist()):
+            got = best_match(self.words[k].tolist(), hashes[b:e].tolist(), self.most[k])
+            if got:
+                new = (got[0], b + got[1] - int(ends[r] - counts[r]))
+                if (r, k) not in found or new < found[r, k]:
+                    found[r, k] = new
+
     def _verify(self, start, row, item, size, hashes, counts, ends, found, tried):
         step = max(1, size // 2)
         spans = tried.setdefault((row, item), [])

@@ -218,3 +218,28 @@ def test_quality_bands_separate(spark):
     share = {r.quality: r.s for r in base.groupBy("quality").agg({"kept": "count"}).join(base.where("kept").groupBy("quality").count().withColumnRenamed("count", "k"), "quality").selectExpr("quality", "k / `count(kept)` AS s").collect()}
     assert share[1] >= 0.98 and share[0] <= 0.1
     measured.unpersist()
+
+
+def test_decontamination_at_the_bound():
+    """Every match within the edit bound, short items and long ones with deletions, insertions and substitutions; as by brute force."""
+    r = random.Random(5)
+    words = ["v%d" % k for k in range(3000)]
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 14, 45, 100, 200, 400, 800]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in lengths]
+    items = decontam.Items(list(range(len(texts))), texts)
+    docs = []
+    for text in texts:
+        for kind in range(3):
+            x = text.split()
+            for at in sorted(r.sample(range(len(x)), int(decontam.SHARE * len(x))), reverse=True):
+                x[at : at + 1] = [[], ["new"], [x[at], "new"]][kind]
+            docs.append(" ".join([r.choice(words) for _ in range(r.randint(0, 90))] + x + [r.choice(words) for _ in range(r.randint(0, 90))]))
+    hashes, counts = decontam.words_of(pa.array([*docs, "", "v1"]))
+    ends = counts.cumsum()
+    want = []
+    for row, (n, e) in enumerate(zip(counts.tolist(), ends.tolist())):
+        for k, text in enumerate(texts):
+            got = decontam.best_match(decontam.words_of(pa.array([text]))[0].tolist(), hashes[e - n : e].tolist(), int(decontam.SHARE * lengths[k]))
+            want += [(row, k, *got)] if got else []
+    assert {(3 * k + j, k) for k in range(len(texts)) for j in range(3)} <= {(row, k) for row, k, *_ in want}
+    assert items.search(hashes, counts) == want
