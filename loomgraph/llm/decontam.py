@@ -252,22 +252,46 @@ class Items:
                 found[row, item] = new
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, distance, end_word: each item that a document holds."""
-    spark = docs.sparkSession
-    out = None
+def _blocks(benchmark: DataFrame, block: int):
+    """Broadcasts of (ids, texts) of about ``block`` items."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     n = items.count()
     blocks = max(1, -(-n // block))
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = own.orderBy("item_id", "text").collect()  # about ``block`` items
-        shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        rows = own.orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, distance, end_word: each item that a document holds."""
+    out = None
+    for shared in _blocks(benchmark, block):
         got = map_arrow(docs.select("doc_id", "text"), _searcher(shared), SCHEMA)
         out = got if out is None else out.union(got)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows whose text holds an item."""
+    out = docs
+    for shared in _blocks(benchmark, block):
+        out = map_arrow(out, _cleaner(shared), docs.schema)
+    return out
+
+
+def _cleaner(shared):
+    def work(batches):
+        items = Items(*shared.value)
+        for batch in batches:
+            for part in slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                keep[[g[0] for g in (items.search(*words_of(part.column("text"))) if items.ids else [])]] = False
+                yield part.filter(pa.array(keep))
+
+    return work
+
+
 def _searcher(shared):
     def work(batches):
         items = Items(*shared.value)
@@ -285,6 +309,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item."""
-    bad = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__held")), "left_anti")
+    """Documents that hold no item; each row by its own text."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))

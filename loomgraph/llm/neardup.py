@@ -277,6 +277,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that have a smaller doc_id in their class."""
-    gone = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each class: the one with the smallest doc_id, null last; of rows with the same doc_id the first written.
+
+    Classes are those of rows, under a row number that is written once, so null and repeated doc_ids count as rows of their own.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    numbered = rows.select(F.col("__row").alias("doc_id"), "text")
+    named = classes(numbered).select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m")).select("m.__row")
+    return rows.join(stays, "__row", "left_semi").select(*docs.columns)

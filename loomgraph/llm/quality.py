@@ -203,6 +203,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their columns as they were."""
-    verdict = rules(docs, vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """Documents that the rules keep, with their columns as they were; each row by its own text."""
+    paths = vocabulary_path(BYTE_VOCABULARY), vocabulary_path(PIECE_VOCABULARY)
+
+    def work(batches):
+        f = fertility(*paths)
+        for batch in batches:
+            for part in slices(batch):
+                lang = part.column("lang").cast(pa.string()) if "lang" in part.schema.names else pa.nulls(part.num_rows, pa.string())
+                asked = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lang], ["doc_id", "text", "lang"])
+                yield part.filter(measure(asked, f, BANDS).column("kept"))
+
+    return map_arrow(docs, work, docs.schema)
