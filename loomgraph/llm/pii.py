@@ -87,9 +87,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Generators, by kind: each proposes more than it should.
 GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{16,512}+")),
-    ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+ ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,64}(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z0-9-]{1,64})+")),
-    ("number", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ./()-]{0,2}[0-9]){7,30}(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{16,}+")),
+    ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++ ?(?:\[at\]|\(at\)) ?[a-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z0-9-]++)+")),
+    ("number", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ./()-]{0,2}[0-9]){7,}(?![0-9A-Za-z])")),
 )
 _NEEDS = {"secret": _DIGIT, "contact": re.compile(r"(?i)[\[(]at[\])]"), "number": _DIGIT}
 #: Cue words that make personal data likelier before a span.

@@ -243,3 +243,16 @@ def test_decontamination_at_the_bound():
             want += [(row, k, *got)] if got else []
     assert {(3 * k + j, k) for k in range(len(texts)) for j in range(3)} <= {(row, k) for row, k, *_ in want}
     assert items.search(hashes, counts) == want
+
+
+def test_personal_data_of_any_length():
+    r = random.Random(3)
+    key = "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1600))
+    text = f'see token = "{key}" here'
+    assert pii.all_spans(text, pii.model())[1] == [("secret", 13, 1613)]
+    local, digits = "abc.de" * 20, "12345678 " * 8
+    assert ("contact", 6, 6 + len(local) + 23) in list(pii.candidates(f"write {local} [at] example [dot] com."))
+    assert [c for c in pii.candidates(f"tel {digits}now") if c[0] == "number"] == [("number", 4, 3 + len(digits))]
+    assert [c for c in pii.candidates("id " + "7" * 40) if c[0] == "number"] == [("number", 3, 43)]
+    for long in ("a1" * 300_000, "a." * 300_000 + "[at]", "1" * 600_000 + "x", "1 " * 300_000 + "x"):
+        assert len(list(pii.candidates(long))) <= 2
