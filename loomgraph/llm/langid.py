@@ -6,8 +6,8 @@ language's text length (a pointer into it costs that many bits), over the charac
 character; the lowest language wins.  Phrases don't cross runs of letters, so the count of a word is worked out once
 and kept in a bounded table.
 
-Training sample: per language the ``PER_LANGUAGE`` labelled rows with the smallest hash of doc_id among those with texts of
-``MIN_CHARS`` to ``MAX_CHARS`` characters, whole texts; so at most PER_LANGUAGE * MAX_CHARS characters a language.
+Training sample: per language labelled rows by hash of doc_id, of any length, each text's first ``MAX_CHARS`` characters, until they hold
+``CHARS`` characters (the last row whole) or are ``ROWS`` rows; so at most CHARS + MAX_CHARS characters a language.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without training rows everything is ``und``; ties go to
 the language that sorts first; repeated rows get equal results; other columns are never read.
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import WordTable, crc_mod, map_arrow, slices, sums, table
 
-PER_LANGUAGE, MIN_CHARS, MAX_CHARS = 40, 200, 2000
+CHARS, MAX_CHARS, ROWS = 40_000, 2000, 4000
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -137,15 +137,18 @@ class Walker:
 
 def fit(docs: DataFrame, allowed=None) -> dict[str, str]:
     """language -> training text, from rows where ``allowed`` holds."""
-    usable = F.col("lang").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS) & F.col("doc_id").isNotNull()
+    cut = F.substring("text", 1, MAX_CHARS)
+    usable = F.col("lang").isNotNull() & cut.rlike("\\p{L}") & F.col("doc_id").isNotNull()
     rows = docs.where(usable if allowed is None else usable & allowed)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
-    ids = [r.doc_id for r in ranked.select("doc_id").collect()]
+    ranked = rows.select("lang", "doc_id", F.length(cut).alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = ranked.withColumn("before", before).where(F.col("before") < CHARS).select("lang", "doc_id").distinct()
+    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(cut).alias("text"))
     texts: dict[str, list] = {}
-    for r in rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").collect() if ids else []:
+    for r in got.collect():
         texts.setdefault(r.lang, []).append((r.doc_id, r.text.lower()))
-    return {k: " ".join(" ".join(re.findall(r"[^\W\d_]+", t)) for _, t in sorted(v)[: 2 * PER_LANGUAGE]) for k, v in sorted(texts.items())}
+    return {k: " ".join(" ".join(re.findall(r"[^\W\d_]+", t)) for _, t in sorted(v)) for k, v in sorted(texts.items())}
 
 
 _loaded: dict = {}
@@ -175,7 +178,7 @@ def parser(model: dict[str, str]):
 
 
 def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most PER_LANGUAGE * MAX_CHARS characters a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CHARS + MAX_CHARS characters a language
 
     def work(batches):
         letter = re.compile(r"[^\W\d_]").search

@@ -256,3 +256,13 @@ def test_personal_data_of_any_length():
     assert [c for c in pii.candidates("id " + "7" * 40) if c[0] == "number"] == [("number", 3, 43)]
     for long in ("a1" * 300_000, "a." * 300_000 + "[at]", "1" * 600_000 + "x", "1 " * 300_000 + "x"):
         assert len(list(pii.candidates(long))) <= 2
+
+
+def test_languages_of_any_text_length(spark):
+    short = [(k, t, "aa") for k, t in enumerate(["bo ka", "lo mi ka", "bo bo lo", "12 34", None, ""])]
+    long = [(100 + k, "zurr quex " * 3000, "bb") for k in range(30)]
+    docs = spark.createDataFrame(short + long + long[:3], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model) == {"aa", "bb"} and langid.CHARS - 1000 <= len(model["bb"]) <= langid.CHARS + langid.MAX_CHARS
+    asked = spark.createDataFrame([(1, "ka lo bo"), (2, "quex zurr zurr")], "doc_id long, text string")
+    assert [r.lang_pred for r in sorted(langid.predict(asked, model).collect())] == ["aa", "bb"]
