@@ -266,3 +266,12 @@ def test_languages_of_any_text_length(spark):
     assert set(model) == {"aa", "bb"} and langid.CHARS - 1000 <= len(model["bb"]) <= langid.CHARS + langid.MAX_CHARS
     asked = spark.createDataFrame([(1, "ka lo bo"), (2, "quex zurr zurr")], "doc_id long, text string")
     assert [r.lang_pred for r in sorted(langid.predict(asked, model).collect())] == ["aa", "bb"]
+
+
+def test_classifier_measures_a_text_by_itself():
+    texts = ["", "one", "a b c", "a b c " * 20, "x y z w " * 200, "a b c a", None]
+    whole, per_row = attention.passages(pa.array(texts, pa.string()))
+    ends = per_row.cumsum()
+    for t, n, e in zip(texts, per_row.tolist(), ends.tolist()):
+        alone, own = attention.passages(pa.array([t], pa.string()))
+        assert own.tolist() == [n] and (alone == whole[e - n : e]).all()
