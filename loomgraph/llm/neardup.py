@@ -3,17 +3,20 @@
 A document is its set of hashed five-word shingles.  Two link when 100 * intersection >= 80 * union.
 
 1. One pass over the texts gives each set's size, 128-bit fingerprint and 512-bit parity bitmap (bit = parity of the elements hashed
-   to it), and counts of shingles common within a task.  Equal sets are one node from here on.
-2. A second pass gives each set the floor(n / 5) + 1 first elements of one global order, common shingles last.  Sets that link
-   share one of these, whatever the order is; so nothing is lost, and putting common shingles last only keeps groups small.
-3. Sets that share such a key are compared first with one set of their group (the star; each set's nearest center by bits first,
-   then the centers it isn't connected with yet), then across what the stars left apart:
-   rows meet within a tile (key, size band); sizes and bit counts bound the intersection from above -
-   popcount(a xor b) elements at least are in one set only - and what remains is settled by intersecting the sorted arrays.
+   to it), and counts of shingles common within a task.  Rows of equal fingerprint and size are one set from here on.
+2. A second pass gives each set the floor(n / 5) + 1 first elements of one global order, common shingles last, as keys.  Sets that
+   link share a key, whatever the order is; so nothing is lost, and putting common shingles last only keeps groups small.  Keys that
+   exactly the same sets hold say the same, so one of them stays.
+3. A tile is (key, size band or the band above): sets that link are in one band or in neighbouring ones, so they meet in a tile.
+   In each tile all sets are held against its center first, and for each the nearest center by bits is verified before the others.
+   What tiles still hold in different classes is then held against each other, each pair at its first tile only: sizes and bit
+   counts bound the intersection from above - popcount(a xor b) elements at least are in one set only - and what remains is settled
+   by intersecting the sorted arrays.
 4. Components of the links give the classes.
 
 Rows per document grow with its length only; groups meet by equi-joins that leave out what is already connected, so that a group of
-near copies costs as many links as it has members.
+near copies costs as many links as it has members.  A key that so many sets hold that they'd make one task too large is dealt in
+salted parts until its tiles are counted by aggregates.
 
 Defined results: null or wordless text has n_shingles 0 and is linked with nothing; 1 to 4 words are one shingle; rows with the same
 doc_id are one node; a null doc_id has component_id null; an empty table gives none.  Other columns are ignored.
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.operators.components import components
 
-from .common import _MIX, combine, map_arrow, materialize, mix64, slices, table, text_bytes, word_hashes
+from .common import _MIX, combine, map_arrow, materialize, mix64, release, slices, table, text_bytes, word_hashes
 
 WORDS = 5
 #: A link needs PER_CENT of the union.
@@ -41,6 +44,10 @@ COUNT_SPAN, COMMON_MOST = 4_000_000, 100_000
 SEEN_MOST = 1_000_000
 #: Partners of one set that are verified in one group; larger stars are split.
 STAR = 512
+#: Sets that hold one key are dealt in parts of about so many.
+SALT_ROWS = 1_000_000
+#: Keys before its own that a set carries into a tile, to tell pairs that have met before.
+BEFORE = 8
 
 
 def shingle_sets(part: pa.RecordBatch):
@@ -91,6 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         held, size = [], 0
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
                 n, f0, f1, maps = [], [], [], []
@@ -99,8 +107,11 @@ def features(docs: DataFrame) -> DataFrame:
                     n.append(len(s)), f0.append(a), f1.append(b)
                     odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                     maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-                    held.append(s)
-                    size += len(s)
+                    if (a, b) not in seen:  # equal sets count once: they will be one
+                        if len(seen) < SEEN_MOST:
+                            seen.add((a, b))
+                        held.append(s)
+                        size += len(s)
                 bits = np.array(maps, np.int64).reshape(len(n), len(BIT_COLUMNS))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.zeros(len(n), bool)), pa.array(n, pa.int32()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])], NAMES)
                 if size >= COUNT_SPAN:
@@ -112,48 +123,65 @@ def features(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), work, FEATURE_SCHEMA)
 
 
-def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(sid, n, keys): each set's first floor(n / 5) + 1 elements in the global order.  ``common``: hashes, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST numbers
+def prefixes(docs: DataFrame, common: np.ndarray, salts: np.ndarray) -> DataFrame:
+    """(f0, f1, n, keys, salts): each set's first floor(n / 5) + 1 elements in the global order.
+
+    ``common``: hashes, rarest first; ``salts``: in how many parts the sets that hold each are dealt (0: in one).  The row's salts
+    are null where none of its keys is dealt in parts, else a part from 1 on for each such key and 0 for the others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, salts))  # at most COMMON_MOST numbers each
 
     def work(batches):
-        ranks = shared.value
+        ranks, parts = shared.value
         order = np.argsort(ranks)
         known = ranks[order]
         maybe = np.zeros(1 << 20, bool)
         maybe[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
-                sid, size, keys = [], [], []
+                f0, f1, size, keys, dealt = [], [], [], [], []
                 for s in shingle_sets(part):
                     if not len(s):
                         continue
-                    f0, _ = fingerprint(s)
-                    if f0 in seen:
+                    a, b = fingerprint(s)
+                    if (a, b) in seen:
                         continue
                     if len(seen) < SEEN_MOST:
-                        seen.add(f0)
-                    p = len(s) // 5 + 1
+                        seen.add((a, b))
+                    n, p, salt = len(s), len(s) // 5 + 1, None
                     hit = np.flatnonzero(maybe[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
                     if len(hit) and len(known):
                         where = np.minimum(np.searchsorted(known, s[hit]), len(known) - 1)
                         is_common = known[where] == s[hit]
-                        hit, where = hit[is_common], where[is_common]
-                        last = s[hit][np.argsort(order[where])]
-                        mask = np.ones(len(s), bool)
+                        hit, rank = hit[is_common], np.sort(order[where[is_common]])
+                        mask = np.ones(n, bool)
                         mask[hit] = False
-                        s = np.concatenate((s[mask], last))
-                        size.append(len(mask))
-                    else:
-                        size.append(len(s))
-                    sid.append(f0)
+                        s = np.concatenate((s[mask], ranks[rank]))
+                        of = parts[rank][: max(0, p - (n - len(hit)))]
+                        if of.any():
+                            salt = np.concatenate((np.zeros(p - len(of), np.int64), np.where(of > 0, 1 + b % np.maximum(of, 1), 0))).tolist()
+                    f0.append(a), f1.append(b), size.append(n), dealt.append(salt)
                     keys.append(_signed(np.ascontiguousarray(s[:p])))
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sid", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(dealt, pa.list_(pa.int32()))], ["f0", "f1", "n", "keys", "salts"])
 
-    return map_arrow(docs.select("text"), work, "sid long, n int, keys array<long>")
+    return map_arrow(docs.select("text"), work, "f0 long, f1 long, n int, keys array<long>, salts array<int>")
+
+
+def collapsed(keyed: DataFrame) -> DataFrame:
+    """(key, f0, f1, n) of the keys that two sets or more hold; of keys that the same sets hold, the least.
+
+    The sets that hold a key are told apart by two sums of their fingerprints, 48 bits a set each.  Keys dealt in parts all stay.
+    """
+    dealt = keyed.repartition("key", "salt").dropDuplicates(["key", "salt", "f0", "f1"])
+    w = Window.partitionBy("key", "salt")
+    m = F.count(F.lit(1)).over(w)
+    h0, h1 = (F.sum(F.shiftright(c, 16)).over(w) for c in ("f0", "f1"))
+    hot = F.col("salt") > 0
+    met = dealt.withColumns({"m": m, "h0": F.when(hot, F.col("key")).otherwise(h0), "h1": F.when(hot, F.lit(0)).otherwise(h1)}).where((F.col("m") > 1) | hot)
+    return met.groupBy("h0", "h1", "f0", "f1", "n").agg(F.min("key").alias("key")).select("key", "f0", "f1", "n")
 
 
 def _xor(a: str, b: str) -> str:
@@ -181,8 +209,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
     partner = pairs.join(parts, "a").select("a", F.col("b").alias("sid"), F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
     center = parts.select("a", F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = partner.union(center).join(sets.select("sid", "owner"), "sid").select(F.col("owner").alias("doc_id"), "a", "part", "sid")
-    met = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "text")
+    asked = partner.union(center).join(sets.select("sid", "owner", "f0", "f1"), "sid").select(F.col("owner").alias("doc_id"), "a", "part", "sid", "f0", "f1")
+    met = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "f0", "f1", "text")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("sid") != F.col("a"))
 
     def intersect(batches):
@@ -190,14 +218,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 a, b = [], []
-                for hub, sid, s in zip(part.column("a").to_pylist(), part.column("sid").to_pylist(), shingle_sets(part)):
-                    if not len(s) or fingerprint(s)[0] != sid:
+                for hub, sid, f0, f1, s in zip(*(part.column(c).to_pylist() for c in ("a", "sid", "f0", "f1")), shingle_sets(part)):
+                    if not len(s) or fingerprint(s) != (f0, f1):
                         continue  # another text under the same doc_id
                     if sid == hub:
                         star, mine = hub, s
                         continue
                     assert star == hub, "a star without its center"
-                    inter = len(mine) + len(s) - len(np.unique(np.concatenate((mine, s))))
+                    few, many = sorted((mine, s), key=len)
+                    inter = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
                     if 100 * inter >= PER_CENT * (len(mine) + len(s) - inter):
                         a.append(hub), b.append(sid)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -216,48 +245,69 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), F.col("component").alias("label"))
 
 
+def _split_tiles(tiles: DataFrame, value: str) -> DataFrame:
+    """Rows of the tiles that hold two values or more; lo is the least.  By aggregates, combined before the shuffle."""
+    ends = tiles.groupBy("key", "tile").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").drop("hi")
+    return tiles.join(ends, ["key", "tile"])
+
+
+def _across(tiles: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), once or a few times each, of sets that meet in a tile, have different labels and may link by sizes and bits.
+
+    A set's tiles of one size are ordered by key; it carries the keys of the last ones before.  Two sets that have one of these in
+    common have met before and don't meet again, so each pair is kept at its first tile and seldom at another.
+    """
+    named = tiles.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    split = _split_tiles(named, "label").groupBy("sid", "tile", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    placed = split.select("sid", "tile", "label", "keys", F.posexplode("keys").alias("pos", "key"))
+    placed = placed.withColumn("before", F.slice("keys", F.greatest(F.lit(1), F.col("pos") + 1 - BEFORE), F.least(F.col("pos"), F.lit(BEFORE)))).drop("keys", "pos")
+    x, y = (placed.join(sets.select("sid", "n", "band", *BIT_COLUMNS), "sid").alias(k) for k in "xy")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.band") == F.col("x.tile")) & (F.col("x.label") != F.col("y.label"))
+    once = (F.col("y.band") < F.col("x.band")) | (F.col("x.sid") < F.col("y.sid"))
+    met = x.join(y, meet & once & ~F.arrays_overlap("x.before", "y.before") & _bounded("x", "y"))
+    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+
+
 def join_links(docs: DataFrame):
-    """(documents: doc_id, n, sid, owner; links: a, b between set ids).  owner is the least doc_id with the set."""
-    spark = docs.sparkSession
+    """(documents: doc_id, n, owner; links: a, b between set ids; sets: sid, owner, ...).  owner is the least doc_id with the set."""
     rows = materialize(features(docs), "shingle-features")
-    counted = rows.where("common").groupBy("f0").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "f0").limit(COMMON_MOST)
-    common = np.array([r.f0 for r in reversed(counted.collect())], np.int64).view(np.uint64)
+    counted = rows.where("common").groupBy("f0").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "f0").limit(COMMON_MOST).toArrow()
+    order = np.arange(counted.num_rows)[::-1]
+    common = counted.column("f0").to_numpy().astype(np.int64).view(np.uint64)[order]
+    salts = counted.column("c").to_numpy().astype(np.int64)[order] // SALT_ROWS
+    salts = np.where(salts > 0, salts + 1, 0)
     mine = rows.where("NOT common AND n > 0 AND doc_id IS NOT NULL")
-    agg = [F.min("doc_id").alias("owner"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in BIT_COLUMNS]]
-    sets = materialize(mine.groupBy(F.col("f0").alias("sid")).agg(*agg), "shingle-sets")
-
-    keyed = prefixes(docs, common).select("sid", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    met = keyed.withColumns({"center": F.min("sid").over(w), "other": F.max("sid").over(w)}).where("center <> other").select("key", "sid", "center")
-    met = materialize(met, "shingle-keys")
-
-    star = met.where("sid <> center").select(F.col("center").alias("a"), F.col("sid").alias("b")).distinct()
-    x, y = sets.drop("owner").alias("x"), sets.drop("owner").alias("y")
+    agg = [F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in BIT_COLUMNS]]
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT))).cast("int")
+    sets = mine.groupBy("f0", "f1", "n").agg(*agg).withColumns({"band": band, "sid": F.monotonically_increasing_id()})
+    sets = materialize(sets, "shingle-sets")
+
+    part = F.expr("coalesce(salts[pos], 0)")
+    keyed = prefixes(docs, common, salts).select("f0", "f1", "n", "salts", F.posexplode("keys").alias("pos", "key")).select("key", part.alias("salt"), "f0", "f1", "n")
+    met = collapsed(keyed).join(sets.select("f0", "f1", "n", "sid", "band"), ["f0", "f1", "n"])
+    tiles = met.select("key", "sid", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
+    tiles = materialize(_split_tiles(tiles, "sid"), "shingle-tiles")
+
+    star = tiles.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
+    x, y = sets.alias("x"), sets.alias("y")
     bounded = star.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
     pairs = materialize(bounded.select("a", "b", _distance("x", "y").alias("d")), "shingle-pairs")
     best = materialize(pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b"), "shingle-best")
     links = _verified(best, docs, sets)
     label = _labels(links)
     rest = materialize(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "shingle-pairs")
+    release(best)
     if not rest.isEmpty():
         links = links.union(_verified(rest, docs, sets))
         label = _labels(links)
-    named = met.select("key", "sid").distinct().join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    split = named.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").select("key", "sid", "label")
-    split = split.join(sets.drop("owner"), "sid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT))).cast("int"))
-    split = materialize(split, "shingle-tiles")
-    left = split.alias("x")
-    right = split.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
-    ordered = F.expr("struct(x.n, x.sid) < struct(y.n, y.sid) AND x.label <> y.label")
-    across = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.tile")) & ordered & _bounded("x", "y"))
-    more = across.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-    if more.isEmpty():
-        everything = links
-    else:
-        everything = links.union(_verified(more, docs, sets))
-    members = rows.where("NOT common").select("doc_id", "n", F.col("f0").alias("sid")).join(sets.select("sid", "owner"), "sid", "left")
-    return members, everything, sets
+    release(rest)
+    more = materialize(_across(tiles.drop("lo"), label, sets).distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
+    release(tiles, pairs)
+    if not more.isEmpty():
+        links = links.union(_verified(more, docs, sets))
+    release(more)
+    members = rows.where("NOT common").select("doc_id", "n", "f0", "f1").join(sets.select("f0", "f1", "n", "owner"), ["f0", "f1", "n"], "left")
+    return members, links, sets
 
 
 def classes(docs: DataFrame) -> DataFrame:
