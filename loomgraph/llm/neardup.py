@@ -46,6 +46,8 @@ SEEN_MOST = 1_000_000
 STAR = 512
 #: Sets that hold one key are dealt in parts of about so many.
 SALT_ROWS = 1_000_000
+#: Up to so many pairs the documents asked for (two a pair at most, some 50 bytes each) are broadcast; beyond, documents are shuffled.
+BROADCAST_PAIRS = 250_000
 #: Keys before its own that a set carries into a tile, to tell pairs that have met before.
 BEFORE = 8
 
@@ -210,6 +212,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     partner = pairs.join(parts, "a").select("a", F.col("b").alias("sid"), F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
     center = parts.select("a", F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = partner.union(center).join(sets.select("sid", "owner", "f0", "f1"), "sid").select(F.col("owner").alias("doc_id"), "a", "part", "sid", "f0", "f1")
+    asked = F.broadcast(asked) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else asked
     met = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "f0", "f1", "text")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("sid") != F.col("a"))
 
@@ -246,9 +249,12 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _split_tiles(tiles: DataFrame, value: str) -> DataFrame:
-    """Rows of the tiles that hold two values or more; lo is the least.  By aggregates, combined before the shuffle."""
+    """Rows of the tiles that hold two values or more; lo is the least.
+
+    By aggregates, combined before the shuffle and written, so that the join with them is one that adaptive execution can split.
+    """
     ends = tiles.groupBy("key", "tile").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").drop("hi")
-    return tiles.join(ends, ["key", "tile"])
+    return tiles.join(materialize(ends, "shingle-ends"), ["key", "tile"])
 
 
 def _across(tiles: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,20 +312,26 @@ def join_links(docs: DataFrame):
     if not more.isEmpty():
         links = links.union(_verified(more, docs, sets))
     release(more)
-    members = rows.where("NOT common").select("doc_id", "n", "f0", "f1").join(sets.select("f0", "f1", "n", "owner"), ["f0", "f1", "n"], "left")
-    return members, links, sets
+    return rows.where("NOT common").select("doc_id", "n", "f0", "f1"), links, sets
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, one row per row of ``docs``.
+
+    Components are those of sets, each under the least doc_id that has it; a doc_id that has several sets links them.
+    """
     members, links, sets = join_links(docs)
     owner = sets.select("sid", "owner")
     x, y = owner.select(F.col("sid").alias("a"), F.col("owner").alias("u")), owner.select(F.col("sid").alias("b"), F.col("owner").alias("v"))
     edges = links.join(x, "a").join(y, "b").select("u", "v")
-    copies = members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))
-    found = components(edges.union(copies))
-    joined = members.join(found, members["doc_id"] == found["node"], "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    mine = F.struct("f0", "f1", "n")
+    several = members.where("n > 0").groupBy("doc_id").agg(F.min(mine).alias("lo"), F.max(mine).alias("hi")).where("lo <> hi").select("doc_id")
+    own = members.where("n > 0").join(several, "doc_id").join(sets.select("f0", "f1", "n", "owner"), ["f0", "f1", "n"])
+    found = components(edges.union(own.select(F.col("doc_id").alias("u"), F.col("owner").alias("v"))))
+    named = sets.join(found, sets["owner"] == found["node"], "left").select("f0", "f1", "n", F.coalesce("component", "owner").alias("component"))
+    joined = members.join(named, ["f0", "f1", "n"], "left")
+    shown = F.when(F.col("n").eqNullSafe(0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), shown.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
