@@ -8,9 +8,9 @@ A document is its set of hashed five-word shingles.  Two link when 100 * interse
    link share a key, whatever the order is; so nothing is lost, and putting common shingles last only keeps groups small.  Keys that
    exactly the same sets hold say the same, so one of them stays.
 3. A tile is (key, size band or the band above): sets that link are in one band or in neighbouring ones, so they meet in a tile.
-   In each tile all sets are held against its center first, and for each the nearest center by bits is verified before the others.
-   What tiles still hold in different classes is then held against each other, each pair at its first tile only: sizes and bit
-   counts bound the intersection from above - popcount(a xor b) elements at least are in one set only - and what remains is settled
+   In each tile all sets are held against its center first, one of ``CENTERS`` choices by hash; each set's nearest center by bits is
+   verified before its others, then its nearest among those it isn't connected with yet.  What tiles still hold in different classes
+   is then held against each other, each pair at its first tile only: sizes and bit counts bound the intersection from above - popcount(a xor b) elements at least are in one set only - and what remains is settled
    by intersecting the sorted arrays.
 4. Components of the links give the classes.
 
@@ -44,12 +44,14 @@ COUNT_SPAN, COMMON_MOST = 4_000_000, 100_000
 SEEN_MOST = 1_000_000
 #: Partners of one set that are verified in one group; larger stars are split.
 STAR = 512
+#: Tiles of so many kinds choose their centers each by an order of its own, so that a group of near copies has several.
+CENTERS = 16
 #: Sets that hold one key are dealt in parts of about so many.
 SALT_ROWS = 1_000_000
 #: Up to so many pairs the documents asked for (two a pair at most, some 50 bytes each) are broadcast; beyond, documents are shuffled.
 BROADCAST_PAIRS = 250_000
 #: Keys before its own that a set carries into a tile, to tell pairs that have met before.
-BEFORE = 8
+BEFORE = 16
 
 
 def shingle_sets(part: pa.RecordBatch):
@@ -240,7 +242,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends have different labels; a set without a label is its own."""
     la, lb = (label.select(F.col("sid").alias(k), F.col("label").alias("l" + k)) for k in "ab")
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select(*pairs.columns)
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -249,21 +251,37 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _split_tiles(tiles: DataFrame, value: str) -> DataFrame:
-    """Rows of the tiles that hold two values or more; lo is the least.
+    """Rows of the tiles that hold two values or more.
 
     By aggregates, combined before the shuffle and written, so that the join with them is one that adaptive execution can split.
+    ``tiles`` is read twice.
     """
-    ends = tiles.groupBy("key", "tile").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").drop("hi")
+    ends = tiles.groupBy("key", "tile").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").select("key", "tile")
     return tiles.join(materialize(ends, "shingle-ends"), ["key", "tile"])
 
 
+def _stars(tiles: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of each set and the center of its tiles."""
+    order = F.struct(F.xxhash64(F.pmod("key", F.lit(CENTERS)), "sid").alias("h"), "sid")
+    centers = materialize(tiles.groupBy("key", "tile").agg(F.min(order).alias("m"), F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("key", "tile", F.col("m.sid").alias("center")), "shingle-centers")
+    met = tiles.join(centers, ["key", "tile"]).where("sid <> center")
+    return met.select(F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")).distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, d) those that are the nearest of one of their ends; a written table."""
+    ends = pairs.select("d", "a", "b", F.explode(F.array("a", "b")).alias("end"))
+    best = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("m"))
+    return materialize(best.select("m.a", "m.b").distinct(), "shingle-nearest")
+
+
 def _across(tiles: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b), once or a few times each, of sets that meet in a tile, have different labels and may link by sizes and bits.
 
     A set's tiles of one size are ordered by key; it carries the keys of the last ones before.  Two sets that have one of these in
     common have met before and don't meet again, so each pair is kept at its first tile and seldom at another.
     """
-    named = tiles.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = materialize(tiles.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "shingle-named")
     split = _split_tiles(named, "label").groupBy("sid", "tile", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     placed = split.select("sid", "tile", "label", "keys", F.posexplode("keys").alias("pos", "key"))
     placed = placed.withColumn("before", F.slice("keys", F.greatest(F.lit(1), F.col("pos") + 1 - BEFORE), F.least(F.col("pos"), F.lit(BEFORE)))).drop("keys", "pos")
@@ -291,24 +309,24 @@ def join_links(docs: DataFrame):
     part = F.expr("coalesce(salts[pos], 0)")
     keyed = prefixes(docs, common, salts).select("f0", "f1", "n", "salts", F.posexplode("keys").alias("pos", "key")).select("key", part.alias("salt"), "f0", "f1", "n")
     met = collapsed(keyed).join(sets.select("f0", "f1", "n", "sid", "band"), ["f0", "f1", "n"])
-    tiles = met.select("key", "sid", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
-    tiles = materialize(_split_tiles(tiles, "sid"), "shingle-tiles")
+    tiles = materialize(met.select("key", "sid", F.explode(F.array("band", F.col("band") + 1)).alias("tile")), "shingle-tiles")
 
-    star = tiles.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
     x, y = sets.alias("x"), sets.alias("y")
-    bounded = star.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
+    bounded = _stars(tiles).join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
     pairs = materialize(bounded.select("a", "b", _distance("x", "y").alias("d")), "shingle-pairs")
-    best = materialize(pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b"), "shingle-best")
-    links = _verified(best, docs, sets)
-    label = _labels(links)
-    rest = materialize(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "shingle-pairs")
-    release(best)
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, docs, sets))
+    links = label = None
+    rest = pairs
+    for _ in range(2):
+        nearest = _nearest(rest)
+        found = _verified(nearest, docs, sets)
+        links = found if links is None else links.union(found)
         label = _labels(links)
-    release(rest)
-    more = materialize(_across(tiles.drop("lo"), label, sets).distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-    release(tiles, pairs)
+        after = materialize(_apart(rest.join(nearest, ["a", "b"], "left_anti"), label), "shingle-pairs")
+        release(nearest, None if rest is pairs else rest)
+        rest = after
+    more = _across(tiles, label, sets).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more.union(rest.select("a", "b")), "shingle-pairs")
+    release(tiles, pairs, rest)
     if not more.isEmpty():
         links = links.union(_verified(more, docs, sets))
     release(more)
