@@ -3,7 +3,7 @@
 A document is its set of hashed five-word shingles.  Two link when 100 * intersection >= 80 * union.
 
 1. One pass over the texts gives each set's size, 128-bit fingerprint and 512-bit parity bitmap (bit = parity of the elements hashed
-   to it), and counts of shingles common within a task.  Rows of equal fingerprint and size are one set from here on.
+   to it), for sets of over ``WIDE`` elements a second one of two to four bits an element, and counts of shingles common within a task.  Rows of equal fingerprint and size are one set from here on.
 2. A second pass gives each set the floor(n / 5) + 1 first elements of one global order, common shingles last, as keys.  Sets that
    link share a key, whatever the order is; so nothing is lost, and putting common shingles last only keeps groups small.  Keys that
    exactly the same sets hold say the same, so one of them stays.
@@ -38,6 +38,8 @@ WORDS = 5
 #: A link needs PER_CENT of the union.
 PER_CENT = 80
 BITS = 512
+#: Beyond so many elements the bitmap of BITS fills up, and a second one that grows with the set is held too.
+WIDE = 256
 #: Shingles counted together, at most, when looking for common ones; and how many of the commonest are put last in the order.
 COUNT_SPAN, COMMON_MOST = 4_000_000, 100_000
 #: Prefix keys of one set are sent once per task; the memory of which were is bounded.
@@ -83,8 +85,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parities(s: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap, as longs: each bit says whether an odd number of elements is hashed to it."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 BIT_COLUMNS = [f"b{i}" for i in range(BITS // 64)]
-FEATURE_SCHEMA = "doc_id long, common boolean, n int, f0 long, f1 long, " + ", ".join(f"{b} long" for b in BIT_COLUMNS)
+FEATURE_SCHEMA = "doc_id long, common boolean, n int, f0 long, f1 long, " + ", ".join(f"{b} long" for b in BIT_COLUMNS) + ", wide array<long>"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def features(docs: DataFrame) -> DataFrame:
         k, c = _signed(keys[some]), counts[some].astype(np.int32)
         n = len(k)
         zero = pa.array(np.zeros(n, np.int64))
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.array(c), pa.array(k), zero] + [zero] * len(BIT_COLUMNS), NAMES)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.array(c), pa.array(k), zero] + [zero] * len(BIT_COLUMNS) + [pa.nulls(n, pa.list_(pa.int64()))], NAMES)
 
     NAMES = [x.split()[0] for x in FEATURE_SCHEMA.split(", ")]
 
@@ -105,19 +113,19 @@ def features(docs: DataFrame) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
-                n, f0, f1, maps = [], [], [], []
+                n, f0, f1, maps, wide = [], [], [], [], []
                 for s in shingle_sets(part):
                     a, b = fingerprint(s) if len(s) else (0, 0)
                     n.append(len(s)), f0.append(a), f1.append(b)
-                    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                    maps.append(parities(s, BITS))
+                    wide.append(parities(s, 2 << (len(s) - 1).bit_length()) if len(s) > WIDE else None)
                     if (a, b) not in seen:  # equal sets count once: they will be one
                         if len(seen) < SEEN_MOST:
                             seen.add((a, b))
                         held.append(s)
                         size += len(s)
                 bits = np.array(maps, np.int64).reshape(len(n), len(BIT_COLUMNS))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.zeros(len(n), bool)), pa.array(n, pa.int32()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])], NAMES)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.zeros(len(n), bool)), pa.array(n, pa.int32()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])] + [pa.array(wide, pa.list_(pa.int64()))], NAMES)
                 if size >= COUNT_SPAN:
                     yield common_rows(held)
                     held, size = [], 0
@@ -204,6 +212,15 @@ def _bounded(a: str, b: str):
     return F.expr(f"100L * {small} >= {PER_CENT}L * {large} AND {100 + PER_CENT}L * ({upper}) >= {PER_CENT}L * ({a}.n + {b}.n)")
 
 
+def _bounded_wide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that may link by the bitmaps that grow with the sets; pairs without two of one width all stay."""
+    x, y = (sets.select(F.col("sid").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("w" + k)) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    xor = "aggregate(zip_with(wa, wb, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    may = F.expr(f"wa IS NULL OR wb IS NULL OR size(wa) <> size(wb) OR {100 + PER_CENT}L * ((na + nb - {xor}) div 2) >= {PER_CENT}L * (na + nb)")
+    return both.where(may).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays; a written table.
 
@@ -301,7 +318,7 @@ def join_links(docs: DataFrame):
     salts = counted.column("c").to_numpy().astype(np.int64)[order] // SALT_ROWS
     salts = np.where(salts > 0, salts + 1, 0)
     mine = rows.where("NOT common AND n > 0 AND doc_id IS NOT NULL")
-    agg = [F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in BIT_COLUMNS]]
+    agg = [F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in [*BIT_COLUMNS, "wide"]]]
     band = F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT))).cast("int")
     sets = mine.groupBy("f0", "f1", "n").agg(*agg).withColumns({"band": band, "sid": F.monotonically_increasing_id()})
     sets = materialize(sets, "shingle-sets")
@@ -311,9 +328,9 @@ def join_links(docs: DataFrame):
     met = collapsed(keyed).join(sets.select("f0", "f1", "n", "sid", "band"), ["f0", "f1", "n"])
     tiles = materialize(met.select("key", "sid", F.explode(F.array("band", F.col("band") + 1)).alias("tile")), "shingle-tiles")
 
-    x, y = sets.alias("x"), sets.alias("y")
+    x, y = sets.drop("wide").alias("x"), sets.drop("wide").alias("y")
     bounded = _stars(tiles).join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_bounded("x", "y"))
-    pairs = materialize(bounded.select("a", "b", _distance("x", "y").alias("d")), "shingle-pairs")
+    pairs = materialize(_bounded_wide(bounded.select("a", "b", _distance("x", "y").alias("d")), sets), "shingle-pairs")
     links = label = None
     rest = pairs
     for _ in range(2):
@@ -324,7 +341,7 @@ def join_links(docs: DataFrame):
         after = materialize(_apart(rest.join(nearest, ["a", "b"], "left_anti"), label), "shingle-pairs")
         release(nearest, None if rest is pairs else rest)
         rest = after
-    more = _across(tiles, label, sets).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _bounded_wide(_across(tiles, label, sets).distinct().join(pairs, ["a", "b"], "left_anti"), sets)
     more = materialize(more.union(rest.select("a", "b")), "shingle-pairs")
     release(tiles, pairs, rest)
     if not more.isEmpty():
