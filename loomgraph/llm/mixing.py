@@ -2,30 +2,31 @@
 
 A source with ``n`` of ``N`` documents and target share ``w`` gets the mean repetition rate ``w * N * size / n``.  Each document's
 count is the inverse of the Poisson distribution with that mean at a uniform number hashed from (seed, doc_id): no state, no order,
-the same for every run and partitioning.  Documents are exploded by their counts and shuffled globally by another hash.
+the same for every run and partitioning.  Documents are exploded by their counts and shuffled globally by another hash: partitions are
+equal ranges of the hash, so rows are dealt out without a pass that samples them, and each partition is sorted.
 
 The table of a source's cumulative probabilities ends where the rest is below the step of the uniform number (2**-52), so no
-count is cut off.  It is joined to the documents by broadcast only if the number of sources, which is checked, is at most
-``BROADCAST_SOURCES``; beyond, by an ordinary join, whose hot sources adaptive execution splits.
+count is cut off.  Its length grows with the rate; the tables are joined to the documents by broadcast only if all of them together,
+which is checked, have at most ``BROADCAST_ENTRIES`` numbers; beyond, by an ordinary join, whose hot sources adaptive execution splits.
 
 Defined results: a null source is a source of its own; null or repeated doc_ids draw by their value, so repeated rows repeat alike;
-without documents there is no output; sources that ``weights`` doesn't name get weight 0.  Extra columns are kept.  The added
-columns are copy_no and shuffle_key; input columns of these names are replaced.
+without documents there is no output; sources that ``weights`` doesn't name get weight 0.  Extra columns are kept, whatever their
+names.  The added columns are copy_no and shuffle_key; input columns of these names are replaced.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, table
 
 SEED = "mix-1"
 #: Without explicit weights a source's target share is proportional to n ** TEMPERATURE.
 TEMPERATURE = 0.5
-BROADCAST_SOURCES = 1000
+#: Numbers of 8 bytes.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def uniform(seed: str, *cols):
@@ -48,27 +49,35 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 
 def cumulative(rate_table: DataFrame) -> DataFrame:
-    """Adds cdf: P(count <= k) for k = 0, 1, ... until what is left is below 2**-53."""
+    """Adds cdf: P(count <= k) for k = 0, 1, ... until what is left is below 2**-53.
+
+    A row per source and k: the logarithm of k! is a running sum, so the work grows with the table and no power underflows.
+    """
     last = (F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    log_p = "aggregate(sequence(1, k), CAST(0 AS DOUBLE), (a, i) -> a + ln(rate) - ln(i))"
-    terms = F.expr(f"transform(sequence(0, last_k), k -> exp(-rate + CASE WHEN k = 0 THEN CAST(0 AS DOUBLE) ELSE {log_p} END))")
-    cdf = F.expr("transform(terms, (t, i) -> aggregate(slice(terms, 1, i + 1), CAST(0 AS DOUBLE), (a, x) -> a + x))")
-    return rate_table.withColumn("last_k", last).withColumn("terms", terms).withColumn("cdf", cdf).drop("terms", "last_k")
+    rows = rate_table.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    w = Window.partitionBy("mix_source", "rate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.greatest("k", F.lit(1))))
+    p = rows.withColumn("log_p", F.sum(step).over(w)).withColumn("c", F.sum(F.exp("log_p")).over(w))
+    return p.groupBy("mix_source", "rate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED, size: float = 1.0) -> DataFrame:
     """``docs`` repeated to the target weights, in a global random order; adds copy_no (from 1) and shuffle_key."""
-    spark = docs.sparkSession
-    cdf = materialize(cumulative(rates(docs, weights, temperature, size)).where("rate > 0"), "mix-rates")
-    small = cdf.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    cdf = materialize(cumulative(rates(docs, weights, temperature, size).where("rate > 0")), "mix-rates")
+    small = (cdf.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_ENTRIES
     kept = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    d = docs.select(*kept)
-    joined = d.join(F.broadcast(cdf) if small else cdf, F.col("source").eqNullSafe(F.col("mix_source")))
-    u = uniform(seed, "doc_id")
-    drawn = joined.withColumn("mix_u", u).withColumn("mix_n", F.expr("size(filter(cdf, c -> c <= mix_u))")).where("mix_n > 0")
-    copies = drawn.select(*kept, F.explode(F.expr("sequence(1, mix_n)")).alias("copy_no"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary")))
-    return keyed.orderBy("shuffle_key")
+    # the document stays one column until its copies are made, so that no name of it meets one of the tables'
+    d = docs.select(F.struct(*kept).alias("doc"))
+    joined = d.join(F.broadcast(cdf) if small else cdf, F.col("doc.source").eqNullSafe(F.col("mix_source")))
+    n = F.size(F.filter("cdf", lambda c: c <= F.col("mix_u")))
+    drawn = joined.select("doc", "cdf", uniform(seed, "doc.doc_id").alias("mix_u")).select("doc", n.alias("mix_n")).where("mix_n > 0")
+    copies = drawn.select("doc", F.explode(F.expr("sequence(1, mix_n)")).alias("copy_no"))
+    text = F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string"))
+    keyed = copies.select("doc", "copy_no", F.md5(text.cast("binary")).alias("shuffle_key"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * F.lit(parts / 2**32)).cast("int")
+    dealt = keyed.repartitionById(parts, part).sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col("doc").getField(c).alias(c) for c in kept], "copy_no", "shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
