@@ -55,15 +55,23 @@ class Fertility(WordTable):
 
         self.tok = counter(byte_path)
         sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        # a character falls back to bytes exactly if it isn't a piece itself
+        self.pieces = sp
+        self.is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
+        # words of characters that are pieces themselves never fall back; the others are given to the library
         self.own = frozenset(p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if len(p) == 1)
         super().__init__(self.measure, 4, limit=CACHE_WORDS, dtype=np.int64)
 
     def clear(self) -> None:
         super().clear()
-        self.flat = np.zeros(1 << 16, np.uint16)
+        self.flat = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def fallen(self, word: str) -> int:
+        """Byte pieces that the library gives for a word, over the bytes of a character: characters that fall back."""
+        ids = np.array(self.pieces.encode(word), np.int64)
+        n = int(self.is_byte[ids].sum()) if len(ids) else 0
+        return min(len(word), -(-n * len(word) // max(1, len(word.encode("utf-8", "surrogatepass"))))) if n else 0
+
     def measure(self, words: list[bytes]) -> np.ndarray:
         texts = [w.decode("utf-8", "replace") for w in words]
         encode, find, own = self.tok.encode, self.tok.find, self.own
@@ -71,12 +79,12 @@ class Fertility(WordTable):
         n = np.array(list(map(len, ids)), dtype=np.int64)
         total = int(n.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.uint16)])
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.int64)])
         self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
         start = self.used + np.cumsum(n) - n
         self.used += total
         size = np.array(list(map(len, texts)), dtype=np.int64)
-        fallback = [0 if own.issuperset(t) else sum(c not in own for c in t) for t in texts]
+        fallback = [0 if own.issuperset(t) else self.fallen(t) for t in texts]
         return np.stack([n, size, np.array(fallback, dtype=np.int64), start], axis=1)
 
 
@@ -172,12 +180,12 @@ def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     v = f.values[ids].astype(np.int64)
     n_tok, n_own, n_fall = (sums(v[:, k], counts) for k in range(3))
     take = np.repeat(v[:, 3] - (np.cumsum(v[:, 0]) - v[:, 0]), v[:, 0]) + np.arange(int(v[:, 0].sum()))
-    key = np.repeat(np.arange(len(texts), dtype=np.int64), n_tok) << 16 | f.flat[take]
+    key = np.repeat(np.arange(len(texts), dtype=np.int64), n_tok) << 32 | f.flat[take]
     key.sort()
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     c = np.diff(np.append(head, len(key)))
     weight = np.zeros(len(texts))
-    np.add.at(weight, key[head] >> 16, c * np.log2(np.maximum(c, 1)))
+    np.add.at(weight, key[head] >> 32, c * np.log2(np.maximum(c, 1)))
     has = n_tok > 0
     safe = np.maximum(n_tok, 1)
     entropy = np.where(has, np.log2(safe) - weight / safe, 0.0)
