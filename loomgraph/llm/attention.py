@@ -104,6 +104,24 @@ def forward(p: dict, x: np.ndarray, per_row: np.ndarray):
     return h, t, s, a, owner, z, sigmoid(z @ p["c"] + p["b"])
 
 
+def gradient(p: dict, x: np.ndarray, per_row: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean logistic loss."""
+    h, t, s, a, owner, z, q = forward(p, x, per_row)
+    g = {}
+    dq = (q - y) / len(y)
+    g["c"], g["b"] = z.T @ dq, dq.sum(keepdims=True)
+    dz = dq[:, None] * p["c"]
+    da = (dz[owner] * h).sum(1)
+    da = a * (da - np.add.reduceat(a * da, _segments(per_row))[owner])
+    g["w"] = (t * s).T @ da
+    dts = da[:, None] * p["w"]
+    dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (a[:, None] * dz[owner] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+    g["E"], g["e"] = ((x - p["mean"]) / p["scale"]).T @ dh, dh.sum(0)
+    return g
+
+
 def train(x: np.ndarray, per_row: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict:
     r = np.random.Generator(np.random.PCG64(seed))
     init = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -118,19 +136,7 @@ def train(x: np.ndarray, per_row: np.ndarray, y: np.ndarray, seed: int = SEED) -
             docs = order[lo : lo + BATCH]
             take = np.concatenate([np.arange(at[d], at[d] + per_row[d]) for d in docs])
             xb, nb, yb = x[take], per_row[docs], y[docs]
-            h, t, s, a, owner, z, q = forward(p | fixed, xb, nb)
-            g = {}
-            dq = (q - yb) / len(docs)
-            g["c"], g["b"] = z.T @ dq, dq.sum(keepdims=True)
-            dz = dq[:, None] * p["c"]
-            da = (dz[owner] * h).sum(1)
-            da = a * (da - np.add.reduceat(a * da, _segments(nb))[owner])
-            g["w"] = (t * s).T @ da
-            dts = da[:, None] * p["w"]
-            dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-            g["V"], g["U"] = h.T @ dt, h.T @ ds
-            dh = (a[:, None] * dz[owner] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            g["E"], g["e"] = ((xb - fixed["mean"]) / fixed["scale"]).T @ dh, dh.sum(0)
+            g = gradient(p | fixed, xb, nb, yb)
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for k in names:

@@ -1,9 +1,10 @@
 """Token counts without token ids.
 
 Texts are cut into pre-tokens with the vocabulary's own pattern.  Each distinct pre-token is given to the tokenizer once and its
-number of pieces kept; a document's count is the sum, over its pre-tokens, of frequency times pieces.  The join of frequencies
-with piece counts runs inside each Python worker (a hash lookup in a bounded table), since a global join would shuffle a row per
-document and distinct pre-token, several times the input (see README).
+number of pieces kept; a document's count is the sum, over its pre-tokens, of frequency times pieces.  ``count_tokens`` joins
+frequencies with piece counts inside each Python worker (a hash lookup in a bounded table of distinct pre-tokens);
+``count_tokens_joined`` does it with a frequency table and a global join, which shuffles a row per document and distinct pre-token,
+several times the input (figures in the README).  Both give the same rows.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); special strings inside a text are one token each, as the library
 does by default; repeated rows each give a row; an empty table gives none.  Other columns are ignored.
@@ -17,8 +18,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import WordTable, map_arrow, slices, sums, table
+from .common import WordTable, map_arrow, materialize, slices, sums, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -112,5 +114,48 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), work, SCHEMA)
 
 
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, n_bytes, piece, n: a row per document and distinct pre-token; special strings and the document itself have a null
+    piece and the number of special strings."""
+
+    def work(batches):
+        from collections import Counter
+
+        count = counter(path)
+        for batch in batches:
+            for part in slices(batch):
+                out: list[list] = [[] for _ in range(5)]
+                for row, i, t in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                    t = t or ""
+                    parts = count.cut(t) if count.cut else [t]
+                    words = Counter(p for x in parts[::2] for p in count.find(x))
+                    size = len(t.encode("utf-8", "surrogatepass"))
+                    for column, v in zip(out, ([row] * (len(words) + 1), [i] * (len(words) + 1), [size] * (len(words) + 1), [None, *words], [len(parts) // 2, *words.values()])):
+                        column += v
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["row", "doc_id", "n_bytes", "piece", "n"])
+
+    return map_arrow(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), work, "row long, doc_id long, n_bytes long, piece string, n long")
+
+
+def pieces(words: DataFrame, path: str) -> DataFrame:
+    """piece, tokens: each distinct pre-token given to the tokenizer once."""
+
+    def work(batches):
+        encode = counter(path).encode
+        for batch in batches:
+            got = batch.column("piece").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([len(encode(w.encode("utf-8", "surrogatepass"))) for w in got], pa.int64())], ["piece", "tokens"])
+
+    return map_arrow(words.select("piece").where("piece IS NOT NULL").distinct(), work, "piece string, tokens long")
+
+
+def count_tokens_joined(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``count_tokens``, by a global join of the frequency table with the pieces of each distinct pre-token."""
+    freq = materialize(frequencies(docs, path), "frequencies")
+    n = F.sum(F.col("n") * F.coalesce("tokens", F.lit(1)))
+    out = freq.join(pieces(freq, path), "piece", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), n.alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
