@@ -214,7 +214,12 @@ def _bounded(a: str, b: str):
 
 def _bounded_wide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that may link by the bitmaps that grow with the sets; pairs without two of one width all stay."""
-    x, y = (sets.select(F.col("sid").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("w" + k)) for k in "ab")
+    pairs = materialize(pairs, "shingle-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    # of the sets only those asked for are shuffled, as long as their ids may be broadcast
+    ends = F.broadcast(ends) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else ends
+    asked = sets.select("sid", "n", "wide").join(ends, "sid", "left_semi")
+    x, y = (asked.select(F.col("sid").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("w" + k)) for k in "ab")
     both = pairs.join(x, "a").join(y, "b")
     xor = "aggregate(zip_with(wa, wb, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
     may = F.expr(f"wa IS NULL OR wb IS NULL OR size(wa) <> size(wb) OR {100 + PER_CENT}L * ((na + nb - {xor}) div 2) >= {PER_CENT}L * (na + nb)")

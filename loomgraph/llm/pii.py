@@ -155,7 +155,7 @@ def examples(n: int, seed: int):
 
     positive = (
         lambda: (r.choice(["token ", "Bearer ", "jwt=", "cookie: "]), f"ey{pick(b64, r.randint(14, 40))}.ey{pick(b64, r.randint(20, 120))}.{pick(b64, r.randint(20, 60))}", r.choice([" ", '"'])),
-        lambda: (r.choice(["", "key:\n", "the file has\n"]), f"-----BEGIN PRIVATE KEY-----\n{pick(base62, 64)}\n{pick(base62, 40)}==\n-----END PRIVATE KEY-----", "\n"),
+        lambda: (r.choice(["", "key:\n", "the file has\n"]), f"-----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{pick(r.choice([base62, 'Ab1', dig]), r.randint(20, 200))}\n-----END PRIVATE KEY-----", "\n"),
         lambda: (r.choice(["IBAN ", "iban: ", "account ", "pay to "]), account(), r.choice([" ", "."])),
         lambda: (f'{r.choice(["token", "secret", "password", "api_key", "API key", "auth", "key"])}{r.choice([" = ", "=", ": "])}{r.choice(["", chr(34), chr(39)])}', pick(r.choice([hexa, base62]), r.choice([20, 24, 32, 40, 64])), r.choice(["", '"', "'"])),
         lambda: (r.choice(["Bearer ", "sent with token ", "the key "]), pick(base62, r.choice([24, 32, 40])), " "),
