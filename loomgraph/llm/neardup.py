@@ -53,7 +53,7 @@ SALT_ROWS = 1_000_000
 #: Up to so many pairs the documents asked for (two a pair at most, some 50 bytes each) are broadcast; beyond, documents are shuffled.
 BROADCAST_PAIRS = 250_000
 #: Keys before its own that a set carries into a tile, to tell pairs that have met before.
-BEFORE = 16
+BEFORE = 4
 
 
 def shingle_sets(part: pa.RecordBatch):

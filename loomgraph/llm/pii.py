@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) follow the contract's formats exactly and al
 further, overlapping spans (secrets and dotted tokens as a whole, key blocks, e-mail addresses written out, long numbers, account
 numbers in groups); boosted trees score each from its format and context, the score is calibrated (Platt, by kind) on held-out
 examples, and spans at or above the threshold of their kind are added as kinds ``secret``, ``contact``, ``number`` and ``account``,
-best score first, the longer of equals first, leaving out what overlaps a base span or a better one.  The threshold of a kind is the
+best score first (the longer of those that agree to a tenth), leaving out what overlaps a base span or a better one.  The threshold of a kind is the
 least score at which ``PRECISION`` of the held-out examples at or above it are right.
 
 The trees are fitted here on ``TRAIN_ROWS`` seeded examples written by rule (formats in running text against look-alikes: hashes in
@@ -293,8 +293,8 @@ def all_spans(text: str, trees: Trees) -> tuple[list, list]:
     taken = sorted((b, e) for _, b, e in base)
     p = trees.probability(np.array([features(text, *c) for c in found]), np.array([c[0] for c in found]))
     free = _Free(taken)
-    best = sorted((-x, c[1] - c[2], c) for x, c in zip(p.tolist(), found) if x >= trees.threshold.get(c[0], 1.0))
-    extra = [c for _, _, c in best if free.take(c[1], c[2])]
+    best = sorted((-round(x, 1), c[1] - c[2], -x, c) for x, c in zip(p.tolist(), found) if x >= trees.threshold.get(c[0], 1.0))
+    extra = [c for *_, c in best if free.take(c[1], c[2])]
     return base, sorted(base + extra, key=order)
 
 
