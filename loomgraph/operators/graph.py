@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import materialize
+from loomgraph.sources.shared import materialize, release
 
 from .components import components
 
@@ -27,6 +27,22 @@ class CodeGraph:
     def entity(self, key: str) -> DataFrame:
         return self.entities.where(F.col("stable_key") == key)
 
+    def scan(self) -> tuple[DataFrame, DataFrame]:
+        """Entities and edges, each in the order of its key."""
+        return self.entities.orderBy("stable_key"), self.edges.orderBy("edge_key")
+
+    def select_one(self, file_path: str | None, kind: str, qualified_name: str):
+        """The one entity with these values; LookupError where none or several have them."""
+        rows = self.entities.where(F.col("file_path").eqNullSafe(F.lit(file_path)) & (F.col("kind") == kind) & (F.col("qualified_name") == qualified_name)).limit(2).collect()
+        if len(rows) != 1:
+            raise LookupError(f"{kind} {file_path or 'external'} {qualified_name} matched {'no entity' if not rows else 'several entities'}")
+        return rows[0]
+
+    def exports_of(self, files: DataFrame) -> DataFrame:
+        """(file_path, stable_key, name): exported entities at the top level of each file of ``files`` (file_path)."""
+        top = self.entities.where(F.col("exported") & ~F.contains("qualified_name", F.lit(".")))
+        return top.join(files.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "stable_key", "name")
+
     def outgoing(self, key: str, *edge_types: str) -> DataFrame:
         """Edges from one entity; the filters reach the scans."""
         e = self.edges.where(F.col("source") == key)
@@ -43,9 +59,11 @@ class CodeGraph:
 
     def degrees(self) -> DataFrame:
         """Occurrence-counted degrees and unique neighbours of every entity; a self-loop adds 2 and is its own neighbour."""
-        # one shuffle by entity serves both directions; pairs are combined before it
-        sides = F.explode(F.array(F.struct(F.col("source").alias("k"), F.col("target").alias("other"), F.lit(1).alias("out")), F.struct(F.col("target").alias("k"), F.col("source").alias("other"), F.lit(0).alias("out"))))
-        pairs = self.edges.select(sides.alias("s")).groupBy("s.k", "s.other").agg(F.sum("s.out").alias("o"), F.sum(1 - F.col("s.out")).alias("i"))
+        # parallel edges are combined first, then each pair is seen from both ends: the explode is over pairs, not occurrences
+        occurrences = self.edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+        zero = F.lit(0).cast("long")
+        sides = F.explode(F.array(F.struct(F.col("source").alias("k"), F.col("target").alias("other"), F.col("n").alias("o"), zero.alias("i")), F.struct(F.col("target").alias("k"), F.col("source").alias("other"), zero.alias("o"), F.col("n").alias("i"))))
+        pairs = occurrences.select(sides.alias("s")).groupBy("s.k", "s.other").agg(F.sum("s.o").alias("o"), F.sum("s.i").alias("i"))
         d = pairs.groupBy("k").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count(F.lit(1)).alias("unique_neighbors"))
         joined = self.entities.select("stable_key", "kind").join(d, F.col("stable_key") == F.col("k"), "left").drop("k")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
@@ -86,7 +104,8 @@ def traverse(graph: CodeGraph, starts: DataFrame, max_depth: int, edge_types: tu
         raise ValueError("max_depth is a non-negative integer")
     edges = graph.edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else graph.edges
     here, there = ("target", "source") if backward else ("source", "target")
-    step = edges.select(F.col(here).alias("entity"), F.col(there).alias("next"), "edge_key")
+    # every level joins the same steps: what leads to them is worked out once
+    step = materialize(edges.select(F.col(here).alias("entity"), F.col(there).alias("next"), "edge_key"), "steps")
     frontier = starts.select("start", F.col("start").alias("entity"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -113,18 +132,72 @@ def transitive(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure didn't settle")
 
 
-def cycle_edges(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Edges (source, target) that remain when entities without an incoming or outgoing edge are peeled off again and again.
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Edges (source, target) that lie on a cycle: both ends in one strongly connected component, self-loops included."""
+    inside = strong_components(edges)
+    s, t = (inside.select(F.col("node").alias(k), F.col("component").alias("c_" + k)) for k in ("source", "target"))
+    pairs = edges.select("source", "target").distinct()
+    return pairs.where("source = target").union(pairs.where("source <> target").join(s, "source").join(t, "target").where("c_source = c_target").select("source", "target"))
 
-    What remains holds every cycle, and paths between cycles.
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that lie on a cycle of two nodes or more; component is a node of it.
+
+    Forward-backward colouring: nodes without an incoming or outgoing edge are peeled off, every node takes the greatest node that
+    reaches it, and of a colour those that also reach that node backwards are one component; the others go again.  Rounds and their
+    levels end when nothing changes, and only the latest tables are kept.
     """
-    left = materialize(edges.select("source", "target").distinct(), "peel")
+    left = materialize(edges.select("source", "target").where("source <> target").distinct(), "scc")
+    found = None
+    while True:
+        left = _peeled(left)
+        if left.isEmpty():
+            break
+        colour = _spread(left, left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        own = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("cs")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("ct")), "target")
+        same = materialize(own.where("cs = ct").select("source", "target", F.col("cs").alias("colour")), "scc")
+        back = materialize(same.select(F.col("colour").alias("node"), "colour").distinct(), "scc")
+        fresh = back
+        while not fresh.isEmpty():
+            step = same.join(fresh.select(F.col("node").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("node"), "colour").distinct()
+            fresh = materialize(step.join(back, ["node", "colour"], "left_anti"), "scc")
+            back = back.union(fresh)
+        part = materialize(back.select("node", F.col("colour").alias("component")), "scc")
+        found = part if found is None else found.union(part)
+        gone = part.select("node")
+        rest = left.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti")
+        after = materialize(rest, "scc")
+        release(left, same)
+        left = after
+    if found is None:
+        kind = edges.schema["source"].dataType
+        return edges.sparkSession.createDataFrame([], "node string, component string").select(F.col("node").cast(kind), F.col("component").cast(kind))
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return found.join(size, "component", "left_semi").select("node", "component")
+
+
+def _peeled(left: DataFrame) -> DataFrame:
+    """Without edges at nodes that lack an incoming or an outgoing one; two levels a round at least, until few of them go."""
     n = left.count()
-    for _ in range(max_rounds):
+    while n:
         sources, targets = left.select(F.col("source").alias("k")).distinct(), left.select(F.col("target").alias("k")).distinct()
-        left = materialize(left.join(targets, F.col("source") == F.col("k"), "left_semi").join(sources, F.col("target") == F.col("k"), "left_semi"), "peel")
-        m = left.count()
-        if m == n or m == 0:
-            return left
+        after = materialize(left.join(targets, F.col("source") == F.col("k"), "left_semi").join(sources, F.col("target") == F.col("k"), "left_semi"), "scc")
+        release(left)
+        left, m = after, after.count()
+        if m == n:
+            break
         n = m
-    raise RuntimeError("peeling didn't settle")
+    return left
+
+
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """Each node's greatest colour among those that reach it; a level at a time, only from nodes that changed."""
+    known = materialize(colour, "scc")
+    fresh = known
+    while not fresh.isEmpty():
+        sent = edges.join(fresh.select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("sent"))
+        fresh_after = materialize(known.join(sent, "node").where("sent > colour").select("node", F.col("sent").alias("colour")), "scc")
+        after = materialize(known.join(fresh_after.select("node", F.col("colour").alias("new")), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")), "scc")
+        release(known, None if fresh is known else fresh)
+        known, fresh = after, fresh_after
+    return known

@@ -24,7 +24,7 @@ DOMAINS = {
     "INSTANTIATES": [(_OWNER, ("CLASS",))],
     "ROUTES_TO": [(("API_ROUTE",), _CALLABLE)],
     "TESTS": [(("TEST",), tuple(k for k in _ANY if k != "UNRESOLVED"))],
-    "DEPENDS_ON": [(("MODULE", "EXTERNAL_PACKAGE"), ("MODULE", "EXTERNAL_PACKAGE", "UNRESOLVED"))],
+    "DEPENDS_ON": [(("MODULE", "EXTERNAL_PACKAGE"), ("MODULE", "FILE", "EXTERNAL_PACKAGE", "UNRESOLVED"))],
     "POSSIBLE_CALL": [(_OWNER, _CALLABLE)],
 }
 NO_SELF = ("CONTAINS", "EXTENDS", "IMPLEMENTS", "INSTANTIATES")
@@ -64,13 +64,60 @@ def occurrence_overlaps(edges: DataFrame, evidence: list[str]) -> DataFrame:
     return edges.where("edge_type = 'REFERENCES'").join(calls, cond, "left_semi")
 
 
+def invalid_entities(entities: DataFrame) -> DataFrame:
+    """Entities that break an invariant of their own: a blank name, an unknown kind, a key that isn't one, a default export that isn't
+    exported, a source range of another file or without order.  Columns that ``entities`` lacks aren't looked at."""
+    has = set(entities.columns)
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    bad = blank("name") | ~F.col("kind").isin(*ENTITY_KINDS) | F.col("stable_key").isNull()
+    if "qualified_name" in has:
+        bad = bad | blank("qualified_name")
+    if {"exported", "default_export"} <= has:
+        bad = bad | (F.coalesce("default_export", F.lit(False)) & ~F.coalesce("exported", F.lit(False)))
+    if "declaration_fingerprint" in has:
+        bad = bad | ~F.coalesce(F.col("declaration_fingerprint").startswith("df:v1:sha256:"), F.lit(True))
+    if "implementation_fingerprint" in has:
+        bad = bad | ~F.coalesce(F.col("implementation_fingerprint").startswith("if:v1:sha256:"), F.lit(True))
+    if {"start_line", "start_column", "end_line", "end_column"} <= has:
+        bad = bad | _bad_range()
+    return entities.where(F.coalesce(bad, F.lit(True)))
+
+
+def _bad_range():
+    ends = [F.col(c) for c in ("start_line", "start_column", "end_line", "end_column")]
+    some, all_ = ends[0].isNotNull(), ends[0].isNull()
+    for e in ends[1:]:
+        some, all_ = some | e.isNotNull(), all_ | e.isNull()
+    low = (ends[0] < 1) | (ends[1] < 1) | (F.struct(ends[2], ends[3]) < F.struct(ends[0], ends[1]))
+    return some & (all_ | low)
+
+
+def invalid_edges(edges: DataFrame) -> DataFrame:
+    """Edges that break an invariant of their own: an unknown type, a confidence outside 0 to 1, a missing end, a bad range."""
+    bad = ~valid_confidence(F.col("confidence")) | ~F.col("edge_type").isin(*EDGE_TYPES) | F.col("source").isNull() | F.col("target").isNull()
+    if {"start_line", "start_column", "end_line", "end_column"} <= set(edges.columns):
+        bad = bad | _bad_range()
+    return edges.where(F.coalesce(bad, F.lit(True)))
+
+
+def evidence_beyond_file(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges whose evidence names a file that ``files`` (path, n_lines) lacks, or a line beyond its end."""
+    f = files.select(F.col("path").alias("file_path"), "n_lines")
+    return edges.where("file_path IS NOT NULL").join(f, "file_path", "left").where("n_lines IS NULL OR coalesce(end_line, start_line) > n_lines")
+
+
 def diagnostics(graph: CodeGraph) -> DataFrame:
     """(code, subject) of all checks, the two insert-time ones included."""
-    bad_entity = F.trim("name").isin("") | F.col("name").isNull() | ~F.col("kind").isin(*ENTITY_KINDS)
-    bad_edge = ~valid_confidence(F.col("confidence")) | ~F.col("edge_type").isin(*EDGE_TYPES)
     row = lambda df, code, col: df.select(F.lit(code).alias("code"), F.col(col).alias("subject"))
-    out = row(graph.entities.where(bad_entity), "INVALID_ENTITY", "stable_key")
-    for df in (graph.edges.where(bad_edge), domain_violations(graph), missing_endpoints(graph)):
+    out = row(invalid_entities(graph.entities), "INVALID_ENTITY", "stable_key")
+    for df in (invalid_edges(graph.edges), domain_violations(graph), missing_endpoints(graph)):
         out = out.union(row(df, "INVALID_EDGE", "edge_key"))
     cycles = cycle_edges(graph.edges.where("edge_type = 'CONTAINS'"))
-    return out.union(row(cycles, "CONTAINMENT_CYCLE", "source")).distinct()
+    out = out.union(row(cycles, "CONTAINMENT_CYCLE", "source"))
+    evidence = [c for c in ("file_path", "start_line", "start_column", "end_line", "end_column") if c in graph.edges.columns]
+    if evidence:
+        out = out.union(row(occurrence_overlaps(graph.edges, evidence), "CALL_REFERENCE_DUPLICATION", "edge_key"))
+    values = [c for c in graph.entities.columns if c != "stable_key"]
+    out = out.union(row(duplicate_conflicts(graph.entities, ["stable_key"], values), "CONFLICTING_ENTITY", "stable_key"))
+    values = [c for c in graph.edges.columns if c != "edge_key"]
+    return out.union(row(duplicate_conflicts(graph.edges, ["edge_key"], values), "CONFLICTING_EDGE", "edge_key")).distinct()

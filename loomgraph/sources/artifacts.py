@@ -5,44 +5,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.values import line_count, object_key
+from loomgraph.functions.values import line_count, object_key, utf16_length
 
 #: Directories that discovery leaves out.
-IGNORED = (".git", ".next", ".nuxt", ".turbo", "build", "coverage", "dist", "generated", "node_modules", "out", "target", "vendor")
-SOURCE = r"(?i)(?:\.d)?\.[cm]?[jt]sx?$"
+IGNORED = (".git", ".hg", ".svn", ".next", ".turbo", "build", "coverage", "dist", "node_modules", "out", "target", "vendor")
+#: Folders left out by their path below the root.
+IGNORED_PATHS = ("tests/baselines",)
+#: Project files by name; besides them tsconfig.*.json and jsconfig.*.json.
+PROJECT_NAMES = ("package.json", "pnpm-workspace.yaml", "tsconfig.json", "jsconfig.json")
+MAX_FILES = 10_000
+
+
+def is_source(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.[cm]?[jt]sx?$")
+
+
+def is_project(path: Column) -> Column:
+    name = F.lower(F.substring_index(path, "/", -1))
+    return name.isin(*PROJECT_NAMES) | name.rlike(r"^[tj]sconfig\..+\.json$")
 
 
 def source_format(path: Column) -> Column:
+    """Format of a source or project file, else null."""
     low = F.lower(path)
-    return (
-        F.when(low.rlike(r"\.[cm]?tsx$"), "TYPESCRIPT_JSX")
+    source = (
+        F.when(low.endswith(".tsx"), "TYPESCRIPT_JSX")
+        .when(low.endswith(".jsx"), "JAVASCRIPT_JSX")
         .when(low.rlike(r"\.[cm]?ts$"), "TYPESCRIPT")
-        .when(low.rlike(r"\.[cm]?jsx$"), "JAVASCRIPT_JSX")
-        .when(low.rlike(r"\.[cm]?js$"), "JAVASCRIPT")
-        .when(low.endswith(".json"), "JSON")
-        .when(low.rlike(r"\.ya?ml$"), "YAML")
+        .otherwise("JAVASCRIPT")
     )
+    return F.when(is_source(path), source).when(is_project(path), F.when(low.endswith(".yaml"), "YAML").otherwise("JSON"))
 
 
 def skip_reason(path: Column, content: Column) -> Column:
-    """Minified, binary or generated source, else null."""
+    """Minified, binary or generated source, else null.  Lengths are in UTF-16 units."""
     text = F.make_valid_utf8(content.cast("string"))
-    longest = F.array_max(F.transform(F.split(text, "\n"), lambda x: F.length(x)))
+    lines = F.split(text, "\r?\n", -1)
+    longest = F.array_max(F.transform(lines, utf16_length))
     return (
-        F.when(F.lower(path).rlike(r"\.min\.[cm]?js$"), "MINIFIED")
-        .when(F.contains(text, F.lit("\x00")), "BINARY")
-        .when((F.length(text) > 100_000) & (F.size(F.split(text, "\n")) <= 5) & (longest > 50_000), "GENERATED")
+        F.when(F.lower(path).rlike(r"\.min\.[cm]?js$"), "GENERATED_SOURCE_SKIPPED")
+        .when(F.contains(text, F.lit("\x00")), "BINARY_SOURCE_SKIPPED")
+        .when((utf16_length(text) > 100_000) & (F.size(lines) <= 5) & (longest > 50_000), "GENERATED_SOURCE_SKIPPED")
+    )
+
+
+def ignored(path: Column) -> Column:
+    """Whether a folder above a file is left out: by its name, or by its path below the root, upper and lower case alike."""
+    parts = F.split(F.lower(path), "/")
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    by_path = F.lit(False)
+    for p in IGNORED_PATHS:
+        by_path = by_path | F.startswith(F.lower(path), F.lit(p + "/"))
+    return F.exists(above, lambda p: p.isin(*IGNORED)) | by_path
+
+
+def classified(files: DataFrame, max_bytes: int = 2_000_000, max_depth: int = 100, max_files: int = MAX_FILES) -> DataFrame:
+    """path, role, format, content, skip of the source and project files among ``files`` (path below the root, length, content).
+
+    skip says why a file isn't analysed (its content is then null): too deep, beyond ``max_files`` source files in the order of paths,
+    too large, minified, binary or generated.
+    """
+    parts = F.split("path", "/")
+    f = files.where(~ignored(F.col("path"))).withColumns({"role": F.when(is_source(F.col("path")), "SOURCE").when(is_project(F.col("path")), "PROJECT_CONFIGURATION"), "format": source_format(F.col("path"))}).where("role IS NOT NULL")
+    deep = F.size(parts) - 1 > max_depth
+    # the paths beyond the limit begin at one path, found without numbering all rows in one task
+    sources = f.where((F.col("role") == "SOURCE") & ~deep).select("path")
+    last = sources.orderBy("path").limit(max_files).agg(F.max("path").alias("last_path"))
+    f = f.join(F.broadcast(last))
+    skip = (
+        F.when(deep, "MAX_DIRECTORY_DEPTH_EXCEEDED")
+        .when((F.col("role") == "SOURCE") & (F.col("path") > F.col("last_path")), "MAX_FILES_EXCEEDED")
+        .when(F.col("length") > max_bytes, "FILE_TOO_LARGE")
+        .otherwise(F.when(F.col("role") == "SOURCE", skip_reason(F.col("path"), F.col("content"))))
     )
+    out = f.withColumn("skip", skip)
+    return out.select("path", "role", "format", F.when(F.col("skip").isNull(), F.col("content")).alias("content"), "skip")
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, max_depth: int = 100) -> DataFrame:
-    """path, format, content, skip of the source files under a folder of any Hadoop file system."""
+def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, max_depth: int = 100, max_files: int = MAX_FILES) -> DataFrame:
+    """path, role, format, content, skip of the source and project files under a folder of any Hadoop file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace("path", f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    parts = F.split(relative, "/")
-    kept = raw.withColumn("path", relative).where((F.size(parts) <= max_depth) & ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*IGNORED)))
-    f = kept.withColumn("format", source_format(F.col("path"))).where("format IS NOT NULL")
-    return f.select("path", "format", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"), F.when(F.col("length") > max_bytes, "TOO_LARGE").otherwise(skip_reason(F.col("path"), F.col("content"))).alias("skip"))
+    # both sides as plain paths: a listing may write file:/ or file:/// for the same place
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.substring(plain, len(full.toUri().getPath().rstrip("/")) + 2, 2**30)
+    return classified(raw.select(below.alias("path"), "length", "content"), max_bytes, max_depth, max_files)
 
 
 def artifacts(rows: DataFrame, text: str = "text") -> DataFrame:
