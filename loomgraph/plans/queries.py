@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import values as fv
-from loomgraph.operators import compare, lifecycle, validate
+from loomgraph.operators import compare, lifecycle, resolve, validate
 from loomgraph.operators.graph import CodeGraph, cycle_edges, transitive, traverse
-from loomgraph.sources.artifacts import artifacts
+from loomgraph.sources import graph_json
+from loomgraph.sources.artifacts import artifacts, classified
 from loomgraph.sources.shared import table
 
 from . import carrier
@@ -478,3 +479,223 @@ def retrieval_metrics(spark, d):
     good = F.col("quality") == 1
     hits, n, relevant, first = F.count_if((F.col("rank") <= 10) & good), F.count(F.lit(1)), F.count_if(good), F.min(F.when(good, F.col("rank")))
     return r.groupBy("lang").agg(F.round(hits / F.least(F.lit(10), n), 6).alias("precision_at_10"), F.round(hits / F.nullif(relevant, F.lit(0)), 6).alias("recall_at_10"), F.round(F.coalesce(1 / first, F.lit(0.0)), 6).alias("mrr"))
+
+
+# every row of the domain table
+
+
+def _domain_sql() -> str:
+    allowed = " OR ".join(f"edge_type = '{k}' AND s IN ({', '.join(map(repr, a))}) AND t IN ({', '.join(map(repr, b))})" for k, rules in validate.DOMAINS.items() for a, b in rules)
+    return f"""WITH k AS (SELECT unnest({list(fv.ENTITY_KINDS)}) AS kind), y AS (SELECT unnest({list(fv.EDGE_TYPES)}) AS edge_type),
+e AS (SELECT edge_type, a.kind AS s, b.kind AS t FROM y, k a, k b)
+SELECT edge_type, count(*) AS n_refused FROM e WHERE NOT ({allowed}) GROUP BY edge_type"""
+
+
+@query(_domain_sql())
+def domain_matrix(spark, d):
+    kinds = spark.createDataFrame([(k, k) for k in fv.ENTITY_KINDS], "stable_key string, kind string")
+    # each kind once as a source and once as a target: no edge joins an entity to itself
+    ents = kinds.union(kinds.select(F.concat(F.lit("t:"), "stable_key"), "kind"))
+    rows = [(f"{y}|{a}|{b}", a, f"t:{b}", y) for y in fv.EDGE_TYPES for a in fv.ENTITY_KINDS for b in fv.ENTITY_KINDS]
+    edges = spark.createDataFrame(rows, "edge_key string, source string, target string, edge_type string")
+    return validate.domain_violations(CodeGraph(ents, edges)).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_refused"))
+
+
+# identities
+
+
+@query("""SELECT 'sk:v1:sha256:' || sha256('["loom-repository-v1","REPOSITORY","' || r_name || '"]') AS repository_key, r_regionkey FROM region""")
+def repository_keys(spark, d):
+    return table(spark, d, "region").select(fv.repository_identity(F.concat(F.lit(" "), "r_name", F.lit("\n"))).alias("repository_key"), "r_regionkey")
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '@' || lower(p_brand) || '/x/y' WHEN 1 THEN 'fs/promises' WHEN 2 THEN 'pkg' || p_partkey WHEN 3 THEN 'a//b' ELSE 'node:sqlite' END AS spec FROM part),
+r AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NPM' WHEN 1 THEN 'NODE_BUILTIN' WHEN 2 THEN 'NPM' WHEN 4 THEN 'NODE_BUILTIN' END AS ecosystem,
+ CASE p_partkey % 5 WHEN 0 THEN regexp_extract(spec, '^@[^/]*/[^/]*') WHEN 1 THEN 'node:fs' WHEN 2 THEN spec WHEN 4 THEN 'node:sqlite' END AS package, CASE p_partkey % 5 WHEN 0 THEN 'y' WHEN 1 THEN 'promises' END AS subpath FROM s)
+SELECT *, CASE WHEN package IS NOT NULL THEN 'sk:v1:sha256:' || sha256('["loom-package-v1","EXTERNAL_PACKAGE","' || ecosystem || '","' || package || '"]') END AS package_key FROM r""")
+def package_keys(spark, d):
+    k, m = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    spec = F.when(m == 0, F.concat(F.lit("@"), F.lower("p_brand"), F.lit("/x/y"))).when(m == 1, "fs/promises").when(m == 2, F.concat(F.lit("pkg"), k)).when(m == 3, "a//b").otherwise("node:sqlite")
+    r = table(spark, d, "part").select("p_partkey", fv.package_reference(spec).alias("r")).select("p_partkey", "r.*")
+    return r.select("*", fv.package_identity(F.col("ecosystem"), F.col("package")).alias("package_key"))
+
+
+@query("""SELECT conv_id, turn, 'sk:v1:sha256:' || sha256('["loom-anonymous-v1","c/' || conv_id || '","FUNCTION","parent:' || conv_id || '","' || role || '#' || occurrence || '","lf:v1:sha256:' || sha256(replace(text, chr(13), chr(10))) || '"]') AS stable_key
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM conversations)""")
+def anonymous_keys(spark, d):
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("role", F.concat("role", F.lit("#"), F.row_number().over(w).cast("string")))
+    conv = F.col("conv_id").cast("string")
+    return c.select("conv_id", "turn", fv.anonymous_identity(F.concat(F.lit("c/"), conv), F.lit("FUNCTION"), F.concat(F.lit("parent:"), conv), F.col("role"), fv.local_fingerprint(F.col("text"))).alias("stable_key"))
+
+
+@query(carrier.sql("""SELECT edge_key AS carrier_key, 'ek:v1:sha256:' || sha256('["loom-edge-v1","' || source || '","' || target || '","' || edge_type || '","carrier","1","tables","1",' ||
+ CASE WHEN start_line IS NULL THEN '"NO_EVIDENCE"' ELSE '"' || source || '.ts",' || start_line || ',1,' || start_line || ',9,"SYNTAX"' END || ']') AS occurrence_key FROM edge WHERE edge_type IN ('CALLS', 'IMPORTS', 'DEPENDS_ON')"""))
+def edge_occurrence_keys(spark, d):
+    e = carrier.edges(spark, d, ("CALLS", "IMPORTS", "DEPENDS_ON"))
+    line = F.col("start_line")
+    path = F.when(line.isNotNull(), F.concat("source", F.lit(".ts")))
+    resolver = [F.lit("carrier"), F.lit("1"), F.lit("tables"), F.lit("1")]
+    evidence = [path, line, F.lit(1), line, F.lit(9), F.lit("SYNTAX")]
+    return e.select(F.col("edge_key").alias("carrier_key"), fv.edge_identity(F.col("source"), F.col("target"), F.col("edge_type"), resolver, evidence).alias("occurrence_key"))
+
+
+def _json_text(column: str) -> str:
+    """SQL for a JSON string of text without control characters but line ends and tabs."""
+    return f"""'"' || replace(replace(replace(replace(replace(replace({column}, '\\', '\\\\'), '"', '\\"'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '\\n'), chr(9), '\\t') || '"'"""
+
+
+@query(f"""SELECT doc_id, 'df:v1:sha256:' || sha256('{{"defaultExport":false,"exported":' || (doc_id % 2 = 0)::VARCHAR || ',"heritage":[],"kind":"FUNCTION","modifiers":[],"normalizedDeclarationText":' || {_json_text('substr(text, 1, 60)')} || ',"overloads":[],"parameters":[],"returnType":null,"schemaVersion":1,"typeParameters":[],"visibility":null}}') AS declaration,
+ 'if:v1:sha256:' || sha256('{{"kind":"FUNCTION","normalizationVersion":"tokens-v1","normalizedBody":' || {_json_text('text')} || ',"schemaVersion":1}}') AS implementation FROM documents WHERE text IS NOT NULL""")
+def document_fingerprints(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", fv.declaration_fingerprint(F.lit("FUNCTION"), F.col("doc_id") % 2 == 0, F.lit(False), F.substring(text, 1, 60)).alias("declaration"), fv.implementation_fingerprint(F.lit("FUNCTION"), F.lit("tokens-v1"), text).alias("implementation"))
+
+
+@query(carrier.sql("""SELECT stable_key, '{"kind":"' || kind || '","name":"' || name || '","stable_key":"' || stable_key || '"}' AS json FROM ent"""))
+def graph_json_rows(spark, d):
+    return graph_json.json_rows(carrier.entities(spark, d), "stable_key").select(F.col("key").alias("stable_key"), "json")
+
+
+@query("SELECT p_partkey, regexp_matches(split_part(p_name, ' ', 1), '^[A-Z][A-Za-z0-9]*$') AS pascal, CASE WHEN p_size = 50 THEN 'EXACT' WHEN p_size >= 40 THEN 'HIGH' WHEN p_size >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level, split_part(p_type, ' ', 1) || '/' || p_brand AS folder, p_name AS base FROM part")
+def name_predicates(spark, d):
+    path = F.concat(F.substring_index("p_type", " ", 1), F.lit("/"), "p_brand", F.lit("/"), "p_name")
+    return table(spark, d, "part").select("p_partkey", fv.pascal_case(F.substring_index("p_name", " ", 1)).alias("pascal"), fv.confidence_level(F.col("p_size") / 50).alias("level"), fv.directory_name(path).alias("folder"), fv.base_name(path).alias("base"))
+
+
+# resolution
+
+_SPEC = "CASE l_linenumber % 6 WHEN 0 THEN './f' || l_partkey WHEN 1 THEN '../m' || (l_suppkey % 7) || '/f' || l_partkey || '.js' WHEN 2 THEN '@w/p' || (l_suppkey % 9) WHEN 3 THEN '@w/p' || (l_suppkey % 9) || '/dist/f' || l_partkey || '.js' WHEN 4 THEN 'lib' || l_partkey || '/sub' ELSE '#own' || l_partkey END"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT 'm' || (l_orderkey % 7) || '/src/a.ts' AS file_path, {_SPEC} AS specifier, l_linenumber % 6 AS k, l_partkey AS p, l_suppkey AS s, l_orderkey % 7 AS o FROM lineitem),
+f AS (SELECT 'm' || (p_partkey % 7) || '/src/f' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path FROM part UNION SELECT 'm' || n || '/src/index.ts' FROM (VALUES (0), (1), (2), (3), (4)) v(n)
+ UNION SELECT 'm' || (p_partkey % 7) || '/f' || p_partkey || '.ts' FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT file_path, specifier, k, unnest(CASE k WHEN 0 THEN ['m' || o || '/src/f' || p || '.ts', 'm' || o || '/src/f' || p || '.tsx', 'm' || o || '/src/f' || p || '/index.js']
+  WHEN 1 THEN ['m' || o || '/m' || (s % 7) || '/f' || p || '.ts']
+  WHEN 2 THEN ['m' || (s % 9) || '/src/index.ts']
+  WHEN 3 THEN ['m' || (s % 9) || '/src/f' || p || '.ts', 'm' || (s % 9) || '/src/f' || p || '.tsx'] END) AS path, unnest(CASE k WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [1] WHEN 2 THEN [1] WHEN 3 THEN [1, 2] END) AS pos FROM i WHERE k < 4),
+h AS (SELECT file_path, specifier, min(struct_pack(pos := pos, path := c.path)).path AS file FROM c JOIN f ON c.path = f.path GROUP BY 1, 2)
+SELECT DISTINCT file_path, specifier, CASE WHEN file IS NOT NULL THEN 'FILE' WHEN k = 4 OR (k IN (2, 3) AND s % 9 >= 7) THEN 'EXTERNAL_PACKAGE' ELSE 'UNRESOLVED' END AS kind,
+ coalesce(file, CASE WHEN k = 4 THEN 'lib' || p WHEN k IN (2, 3) AND s % 9 >= 7 THEN '@w/p' || (s % 9) END) AS target, CASE WHEN file IS NOT NULL OR k = 4 OR (k IN (2, 3) AND s % 9 >= 7) THEN NULL WHEN k = 5 THEN 'UNSUPPORTED_SYNTAX' ELSE 'OUTSIDE_ANALYSIS_SCOPE' END AS reason
+FROM i LEFT JOIN h USING (file_path, specifier)""")
+def specifier_resolution(spark, d):
+    imports = table(spark, d, "lineitem").select(F.expr("concat('m', l_orderkey % 7, '/src/a.ts') AS file_path"), F.expr(_SPEC.replace("'lib'", "'lib'") + " AS specifier"))
+    part = table(spark, d, "part")
+    files = part.select(F.expr("concat('m', p_partkey % 7, '/src/f', p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END) AS path"))
+    files = files.union(spark.range(5).select(F.expr("concat('m', id, '/src/index.ts')"))).union(part.where("p_partkey % 2 = 0").select(F.expr("concat('m', p_partkey % 7, '/f', p_partkey, '.ts')")))
+    packages = spark.range(7).select(F.expr("concat('@w/p', id) AS name"), F.expr("concat('m', id) AS root"), F.lit("./dist/index.js").alias("entry"))
+    return resolve.resolve_imports(imports, files, packages)
+
+
+@query("""WITH RECURSIVE own AS (SELECT DISTINCT 'c' || o_custkey AS file, 'o' || o_orderkey AS entity FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 5 = 0),
+star AS (SELECT 'c' || c_custkey AS file, 'c' || (c_custkey * 7 % 100 + 1) AS target FROM customer WHERE c_custkey % 2 = 0),
+ex AS (SELECT file, entity FROM own UNION SELECT s.file, x.entity FROM ex x JOIN star s ON s.target = x.file) SELECT file, entity FROM ex""")
+def star_reexport_fixpoint(spark, d):
+    own = table(spark, d, "orders").where("o_custkey % 3 = 0 AND o_orderkey % 5 = 0").select(F.expr("concat('c', o_custkey) AS file"), F.expr("concat('o', o_orderkey) AS entity"))
+    stars = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.expr("concat('c', c_custkey) AS file"), F.expr("concat('c', c_custkey * 7 % 100 + 1) AS target"))
+    return resolve.star_exports(own, stars, own.limit(0))
+
+
+@query("""WITH m AS (SELECT DISTINCT 'd' || (l_partkey % 4) || '/x/' || l_partkey AS file_path, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'tsconfig.json' WHEN 2 THEN 'd' || (l_partkey % 4) || '/tsconfig.json' ELSE 'd' || (l_suppkey % 3) || '/x/tsconfig.json' END AS config_path, l_suppkey % 10 = 3 AS is_root FROM lineitem),
+f AS (SELECT *, regexp_replace(coalesce(config_path, ''), '/?[^/]*$', '') AS folder FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY NOT is_root, NOT (config_path IS NOT NULL AND (folder = '' OR starts_with(file_path, folder || '/'))), -length(folder), coalesce(config_path, '~')) AS r FROM f)
+SELECT file_path, config_path FROM r WHERE r = 1""")
+def program_preference(spark, d):
+    config = "CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'tsconfig.json' WHEN 2 THEN concat('d', l_partkey % 4, '/tsconfig.json') ELSE concat('d', l_suppkey % 3, '/x/tsconfig.json') END AS config_path"
+    return resolve.preferred_program(table(spark, d, "lineitem").select(F.expr("concat('d', l_partkey % 4, '/x/', l_partkey) AS file_path"), F.expr(config), (F.col("l_suppkey") % 10 == 3).alias("is_root")).distinct())
+
+
+@query("""WITH e AS (SELECT 's' || s_nationkey AS file_path, CASE s_suppkey % 4 WHEN 0 THEN 'FUNCTION' WHEN 1 THEN 'CLASS' WHEN 2 THEN 'VARIABLE' ELSE 'ENUM' END AS kind, 'n' || (s_suppkey % 3) AS name, s_name AS stable_key FROM supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_path, name ORDER BY CASE kind WHEN 'FUNCTION' THEN 1 WHEN 'VARIABLE' THEN 3 ELSE 4 END, stable_key) AS r FROM e WHERE kind <> 'ENUM')
+SELECT file_path, name, stable_key FROM r WHERE r = 1""")
+def symbol_lookup(spark, d):
+    kind = "CASE s_suppkey % 4 WHEN 0 THEN 'FUNCTION' WHEN 1 THEN 'CLASS' WHEN 2 THEN 'VARIABLE' ELSE 'ENUM' END AS kind"
+    e = table(spark, d, "supplier").select(F.expr("concat('s', s_nationkey) AS file_path"), F.expr(kind), F.expr("concat('n', s_suppkey % 3) AS qualified_name"), F.col("s_name").alias("stable_key"))
+    return resolve.symbols(e.select("file_path", F.col("qualified_name").alias("name")).distinct(), e)
+
+
+@query("""SELECT 'f' || o_custkey AS file_path, 'l' || l_partkey AS local, min('e' || p_partkey || '.' || p_size) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey % 10 = l_partkey % 10 AND CASE WHEN l_linenumber = 1 THEN p_partkey % 20 = 3 ELSE p_size = l_linenumber END WHERE o_custkey % 10 = 0 GROUP BY 1, 2""")
+def import_bindings(spark, d):
+    orders = table(spark, d, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey")
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    i = i.select(F.expr("concat('f', o_custkey) AS file_path"), (F.col("l_partkey") % 10).alias("target_file"), F.expr("CASE WHEN l_linenumber = 1 THEN 'default' ELSE cast(l_linenumber AS string) END AS imported"), F.expr("concat('l', l_partkey) AS local"))
+    e = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("file"), F.col("p_size").cast("string").alias("name"), (F.col("p_partkey") % 20 == 3).alias("default_export"), F.expr("concat('e', p_partkey, '.', p_size) AS entity"))
+    return resolve.bindings(i, e)
+
+
+# comparison of graphs
+
+
+@query(carrier.sql(f""", ex AS (SELECT * FROM edge WHERE edge_type = 'CALLS' AND start_line <= 3), ac AS (SELECT * FROM edge WHERE edge_type = 'CALLS' AND start_line >= 2),
+least AS (SELECT source, target, max(confidence) AS least FROM ex GROUP BY 1, 2), q AS (SELECT DISTINCT a.source, a.target FROM ac a LEFT JOIN least l ON a.source = l.source AND a.target = l.target WHERE least IS NULL OR confidence >= least),
+x AS (SELECT DISTINCT source, target FROM ex), n AS (SELECT count(*) AS tp FROM x JOIN q USING (source, target)), c AS (SELECT 'edges' AS part, tp, (SELECT count(*) FROM q) - tp AS fp, (SELECT count(*) FROM x) - tp AS fn FROM n
+UNION ALL SELECT 'entities', count(*) FILTER (kind <> 'MODULE' AND kind <> 'FILE'), count(*) FILTER (kind = 'FILE'), count(*) FILTER (kind = 'MODULE') FROM ent) SELECT *, {_METRICS} FROM c"""))
+def golden_graph_comparison(spark, d):
+    g = carrier.graph(spark, d, ("CALLS",))
+    expected = CodeGraph(g.entities.where("kind <> 'FILE'"), _placed(g.edges.where("start_line <= 3")))
+    actual = CodeGraph(g.entities.where("kind <> 'MODULE'"), _placed(g.edges.where("start_line >= 2")))
+    return compare.graph_comparison(expected, actual, minimum=True)
+
+
+def _placed(edges):
+    return edges.withColumns({"file_path": F.col("source"), "start_column": F.lit(1), "end_line": F.col("start_line"), "end_column": F.lit(9)})
+
+
+@query(carrier.sql("""SELECT 'unexpected' AS side, source, target FROM (SELECT DISTINCT source, target FROM edge WHERE edge_type = 'REFERENCES' AND start_line >= 2) WHERE (source, target) NOT IN (SELECT (source, target) FROM edge WHERE edge_type = 'REFERENCES' AND start_line <= 2)
+UNION ALL SELECT 'missing', source, target FROM (SELECT DISTINCT source, target FROM edge WHERE edge_type = 'REFERENCES' AND start_line <= 2) WHERE (source, target) NOT IN (SELECT (source, target) FROM edge WHERE edge_type = 'REFERENCES' AND start_line >= 2)"""))
+def golden_mismatches(spark, d):
+    e = carrier.edges(spark, d, ("REFERENCES",))
+    return compare.mismatches(e.where("start_line <= 2"), e.where("start_line >= 2"), ["source", "target"])
+
+
+@query("""WITH f AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation)
+SELECT k AS id, k % 4 <> 3 AND (k % 4 <> 1 OR r = k % 5) AND (k % 4 <> 2 OR r <> k % 5) AS passed,
+ CASE WHEN k % 4 = 3 THEN 'source selector matched 0 entities' WHEN k % 4 = 1 AND r <> k % 5 THEN 'expected edge is absent' WHEN k % 4 = 2 AND r = k % 5 THEN 'forbidden edge is present' ELSE 'passed' END AS message FROM f""")
+def fact_assertions(spark, d):
+    g = carrier.graph(spark, d, ("CONTAINS",))
+    ents = g.entities.select("stable_key", "kind", F.lit(None).cast("string").alias("file_path"), F.col("stable_key").alias("qualified_name"))
+    k = F.col("n_nationkey")
+    none = F.lit(None).cast("string")
+    kind = F.when(k % 4 == 1, "EDGE").when(k % 4 == 2, "EDGE_ABSENT").otherwise("ENTITY")
+    source = F.when(k % 4 == 0, F.concat(F.lit("nation:"), k.cast("string"))).when(k % 4 == 3, F.lit("nowhere")).otherwise(F.concat(F.lit("region:"), (k % 5).cast("string")))
+    facts = table(spark, d, "nation").select(k.alias("id"), kind.alias("kind"), none.alias("source_path"), F.when(k % 4 == 0, "FILE").otherwise("MODULE").alias("source_kind"), source.alias("source_name"), none.alias("target_path"), F.lit("FILE").alias("target_kind"), F.concat(F.lit("nation:"), k.cast("string")).alias("target_name"), F.lit("CONTAINS").alias("edge_type"), F.lit(0.5).alias("minimum_confidence"), none.alias("target_text"), none.alias("reason"))
+    unresolved = spark.createDataFrame([], "source string, edge_type string, target_text string, reason string")
+    return compare.fact_results(CodeGraph(ents, g.edges), unresolved, facts)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber > o_orderkey % 6 ")
+def evidence_beyond_files(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_linenumber").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    files = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 6).alias("n_lines"))
+    return validate.evidence_beyond_file(li, files).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""WITH f AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'src/a' || page_id || '.ts' WHEN 1 THEN 'dist/a.js' WHEN 2 THEN 'p/package.json' WHEN 3 THEN 'src/b' || page_id || '.min.js' WHEN 4 THEN 'tests/Baselines/x.ts' WHEN 5 THEN 'tsconfig.base.json' WHEN 6 THEN 'data/x.json' ELSE 'src/c' || page_id || '.d.MTS' END AS path, html FROM pages)
+SELECT path, CASE WHEN page_id % 8 IN (2, 5) THEN 'PROJECT_CONFIGURATION' ELSE 'SOURCE' END AS role, CASE page_id % 8 WHEN 2 THEN 'JSON' WHEN 5 THEN 'JSON' WHEN 3 THEN 'JAVASCRIPT' ELSE 'TYPESCRIPT' END AS format,
+ CASE WHEN strlen(html) > 4000 THEN 'FILE_TOO_LARGE' WHEN page_id % 8 = 3 THEN 'GENERATED_SOURCE_SKIPPED' END AS skip, count(*) AS n FROM f WHERE page_id % 8 NOT IN (1, 4, 6) GROUP BY 1, 2, 3, 4""")
+def scan_classification(spark, d):
+    path = "CASE page_id % 8 WHEN 0 THEN concat('src/a', page_id, '.ts') WHEN 1 THEN 'dist/a.js' WHEN 2 THEN 'p/package.json' WHEN 3 THEN concat('src/b', page_id, '.min.js') WHEN 4 THEN 'tests/Baselines/x.ts' WHEN 5 THEN 'tsconfig.base.json' WHEN 6 THEN 'data/x.json' ELSE concat('src/c', page_id, '.d.MTS') END AS path"
+    files = table(spark, d, "pages").select(F.expr(path), F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
+    return classified(files, max_bytes=4000).groupBy("path", "role", "format", "skip").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(carrier.sql("""SELECT edge_key, s.kind AS source_kind, t.kind AS target_kind FROM edge JOIN ent s ON s.stable_key = source JOIN ent t ON t.stable_key = target WHERE edge_type = 'CONTAINS'"""))
+def edges_with_ends(spark, d):
+    g = carrier.graph(spark, d, ("CONTAINS",))
+    k = g.entities.select("stable_key", "kind")
+    s, t = (k.select(F.col("stable_key").alias(c), F.col("kind").alias(c + "_kind")) for c in ("source", "target"))
+    return g.edges.join(s, "source").join(t, "target").select("edge_key", "source_kind", "target_kind")
+
+
+@query("SELECT c_nationkey AS repository, n_name AS name, event_id AS snapshot_id FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def snapshots_of_repositories(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("repository"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("repository"), F.col("n_name").alias("name"))
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("snapshot_id")).join(c, "user_id").join(n, "repository").select("repository", "name", "snapshot_id")
+
+
+@query("SELECT event_type AS phase, count(*) AS runs, round(sum(value), 4) AS total, floor(count(*) * 1000 / sum(value) + 0.5)::BIGINT AS per_second FROM events WHERE value > 0 GROUP BY 1")
+def phase_totals(spark, d):
+    e = table(spark, d, "events").where("value > 0").groupBy(F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("runs"), F.sum("value").alias("v"))
+    return e.select("phase", "runs", F.round("v", 4).alias("total"), fv.per_second_rounded(F.col("runs"), F.col("v")).alias("per_second"))
