@@ -82,7 +82,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) -
     i = i.join(entry, "package", "left")
     below = F.substring("specifier", F.length("package") + 2, F.length("specifier"))
     wanted = F.when(F.col("specifier") == F.col("package"), F.coalesce("entry", F.lit("./src/index"))).otherwise(F.concat(F.lit("./"), below))
-    inner = F.when(wanted.startswith("./"), joined_path(F.col("package_root"), wanted))
+    inner = joined_path(F.col("package_root"), wanted)
+    below_root = (F.col("package_root") == ".") | F.startswith(inner, F.concat("package_root", F.lit("/")))
+    inner = F.when(wanted.startswith("./") & below_root, inner)
     relative = joined_path(directory_name(F.col("file_path")), F.col("specifier"))
     by_package, by_path = F.col("package").isNotNull(), F.col("package").isNull() & F.col("specifier").startswith(".")
     candidates = F.when(by_package, entry_candidates(inner, F.col("package_root"))).when(by_path, relative_candidates(relative))

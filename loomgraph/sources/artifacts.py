@@ -83,7 +83,10 @@ def classified(files: DataFrame, max_bytes: int = 2_000_000, max_depth: int = 10
 
 
 def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, max_depth: int = 100, max_files: int = MAX_FILES) -> DataFrame:
-    """path, role, format, content, skip of the source and project files under a folder of any Hadoop file system."""
+    """path, role, format, content, skip of the source and project files under a folder of any Hadoop file system.
+
+    Empty files aren't listed, since Spark's reader leaves them out.
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
