@@ -5,19 +5,15 @@ Everything here is deterministic across processes: hashes come from fixed tables
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import materialize, release, shared_dir, table
+from loomgraph.sources.ship import map_arrow
 
-__all__ = ["materialize", "release", "shared_dir", "table"]
+__all__ = ["map_arrow", "materialize", "release", "shared_dir", "table"]
 
 #: Bytes of text worked on at once inside a Python worker; bounds the numpy temporaries (about 60 bytes per text byte).
 SLICE_BYTES = 1 << 20
@@ -30,23 +26,6 @@ _TABLE = _rng.integers(0, 2**64, size=_POSITIONS * 256, dtype=np.uint64)
 _MIX = _rng.integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
 
 
-_shipped: set = set()
-
-
-def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package sent to the executors' Python workers once per application."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return df.mapInArrow(work, schema)
-
-
 def crc_mod(col: str, n: int):
     """crc32 of an id written as text, modulo ``n``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{16,}+(?:={1,2}(?![A-Za-z0-9=]))?")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2}(?![A-Za-z0-9_-])")),
-    ("secret", re.compile(r"-----BEGIN [A-Z ]*+KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]*+KEY-----")),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z]+ )*KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )*KEY-----")),
     ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++ ?(?:\[at\]|\(at\)) ?[a-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z0-9-]++)+")),
     ("number", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ./()-]{0,2}[0-9]){7,}(?![0-9A-Za-z])")),
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
