@@ -304,10 +304,12 @@ def _across(tiles: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     common have met before and don't meet again, so each pair is kept at its first tile and seldom at another.
     """
     named = materialize(tiles.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "shingle-named")
-    split = _split_tiles(named, "label").groupBy("sid", "tile", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    placed = split.select("sid", "tile", "label", "keys", F.posexplode("keys").alias("pos", "key"))
+    # one exchange by sid serves the grouping and the join with the sets
+    split = _split_tiles(named, "label").repartition("sid").groupBy("sid", "tile", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    split = split.join(sets.select("sid", "n", "band", *BIT_COLUMNS), "sid")
+    placed = split.select("*", F.posexplode("keys").alias("pos", "key"))
     placed = placed.withColumn("before", F.slice("keys", F.greatest(F.lit(1), F.col("pos") + 1 - BEFORE), F.least(F.col("pos"), F.lit(BEFORE)))).drop("keys", "pos")
-    x, y = (placed.join(sets.select("sid", "n", "band", *BIT_COLUMNS), "sid").alias(k) for k in "xy")
+    x, y = placed.alias("x"), placed.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.band") == F.col("x.tile")) & (F.col("x.label") != F.col("y.label"))
     once = (F.col("y.band") < F.col("x.band")) | (F.col("x.sid") < F.col("y.sid"))
     met = x.join(y, meet & once & ~F.arrays_overlap("x.before", "y.before") & _bounded("x", "y"))
