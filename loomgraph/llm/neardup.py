@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.operators.components import components
 
-from .common import _MIX, combine, map_arrow, materialize, mix64, release, slices, table, text_bytes, word_hashes
+from .common import _MIX, SLICE_BYTES, combine, map_arrow, materialize, mix64, release, slices, table, text_bytes, word_hashes
 
 WORDS = 5
 #: A link needs PER_CENT of the union.
@@ -226,6 +226,45 @@ def _bounded_wide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(may).select(*pairs.columns)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each text compressed by itself (level 3), which takes two thirds of what a shuffle's own codec makes of it."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def work(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch):
+                packed = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(packed, pa.binary())], [*kept, "packed"])
+
+    return map_arrow(rows, work, ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + ["packed binary"]))
+
+
+def _unpacked(batch: pa.RecordBatch):
+    """Runs of rows of ``_packed`` whose texts hold about SLICE_BYTES; a longer single one stays whole."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    kept = [c for c in batch.schema.names if c != "packed"]
+
+    def run(begin, texts):
+        rows = batch.slice(begin, len(texts))
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(texts, pa.binary()).view(pa.string())], [*kept, "text"])
+
+    begin, texts, held = 0, [], 0
+    for i, packed in enumerate(batch.column("packed")):
+        text = None if not packed.is_valid else expand(packed.as_py())
+        if texts and held + len(text or b"") > SLICE_BYTES:
+            yield run(begin, texts)
+            begin, texts, held = i, [], 0
+        texts.append(text)
+        held += len(text or b"")
+    if texts:
+        yield run(begin, texts)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set ids those that link, by intersecting sorted arrays; a written table.
 
@@ -237,13 +276,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     center = parts.select("a", F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = partner.union(center).join(sets.select("sid", "owner", "f0", "f1"), "sid").select(F.col("owner").alias("doc_id"), "a", "part", "sid", "f0", "f1")
     asked = F.broadcast(asked) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else asked
-    met = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "f0", "f1", "text")
+    met = _packed(docs.select("doc_id", "text").join(asked, "doc_id").select("a", "part", "sid", "f0", "f1", "text"))
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("sid") != F.col("a"))
 
     def intersect(batches):
         star, mine = None, None
         for batch in batches:
-            for part in slices(batch):
+            for part in _unpacked(batch):
                 a, b = [], []
                 for hub, sid, f0, f1, s in zip(*(part.column(c).to_pylist() for c in ("a", "sid", "f0", "f1")), shingle_sets(part)):
                     if not len(s) or fingerprint(s) != (f0, f1):
