@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.functions.values import digest_of_key
+
 
 def retention(ready: DataFrame, pins: DataFrame, current: DataFrame, now: Column, keep: int = 5) -> DataFrame:
     """READY snapshots (repository, snapshot_id, ready_at) beyond the ``keep`` newest, not current, without an active pin.
@@ -31,6 +33,18 @@ def blob_tally(existing: DataFrame, put: DataFrame) -> DataFrame:
     return p.groupBy(F.when(F.col("have"), "REUSED").otherwise("UPLOADED").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def verify_blobs(stored: DataFrame, expected: DataFrame) -> DataFrame:
+    """(object_key, content), (object_key, n_bytes) -> (object_key, status): each expected blob read back and hashed.
+
+    MALFORMED_KEY, MISSING, WRONG_LENGTH, WRONG_HASH or VERIFIED, the first that holds; contents are hashed before the join.
+    """
+    have = stored.select("object_key", F.sha2("content", 256).alias("digest"), F.octet_length("content").alias("length"))
+    j = expected.select("object_key", "n_bytes").join(have, "object_key", "left")
+    digest = digest_of_key(F.col("object_key"))
+    status = F.when(digest.isNull(), "MALFORMED_KEY").when(F.col("digest").isNull(), "MISSING").when(~F.col("length").eqNullSafe(F.col("n_bytes")), "WRONG_LENGTH").when(F.col("digest") != digest, "WRONG_HASH").otherwise("VERIFIED")
+    return j.select("object_key", status.alias("status"))
+
+
 def orphans(stored: DataFrame, referenced: DataFrame) -> DataFrame:
     return stored.join(referenced.select("object_key"), "object_key", "left_anti")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import values as fv
-from loomgraph.operators import compare, lifecycle, resolve, validate
+from loomgraph.operators import compare, lifecycle, resolve, retrieval, validate
 from loomgraph.operators.graph import CodeGraph, cycle_edges, transitive, traverse
 from loomgraph.sources import graph_json
 from loomgraph.sources.artifacts import artifacts, classified
@@ -411,7 +411,9 @@ def cochange_association(spark, d):
 def contribution_share(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("commits"))
     j = n.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return j.select("c_nationkey", "o_custkey", "commits", F.round(F.col("commits") / F.sum("commits").over(Window.partitionBy("c_nationkey")), 6).alias("share"))
+    # totals by an aggregate combined before its shuffle: a nation's customers don't meet in one task
+    total = j.groupBy("c_nationkey").agg(F.sum("commits").alias("total"))
+    return j.join(total, "c_nationkey").select("c_nationkey", "o_custkey", "commits", F.round(F.col("commits") / F.col("total"), 6).alias("share"))
 
 
 _YEAR = "SELECT l_partkey, count(*) AS declaration, sum(round(l_quantity)::BIGINT)::BIGINT AS implementation FROM lineitem WHERE year(l_shipdate) = {} GROUP BY 1"
@@ -456,10 +458,7 @@ SELECT q, vec_id, round(sim, 5) AS similarity FROM (SELECT *, row_number() OVER
 def vector_search(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    # the stated query set goes against all rows, in blocks: the nested loop holds one side of queries, and each task keeps its ten best
-    s = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", compare.cosine(F.col("qe"), F.col("embedding")).alias("sim"))
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 10").select("q", "vec_id", F.round("sim", 5).alias("similarity"))
+    return retrieval.nearest_vectors(e, q, 10).select("q", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 @query(f"""WITH c AS (SELECT 'lexical' AS channel, doc_id AS item, score FROM ({_HITS}) UNION ALL SELECT 'length', doc_id, n_chars::DOUBLE FROM documents),
@@ -475,7 +474,7 @@ SELECT lang, round(count(*) FILTER (rank <= 10 AND quality = 1) / least(10, coun
  round(coalesce(1 / min(rank) FILTER (quality = 1), 0), 6) AS mrr FROM r GROUP BY lang""")
 def retrieval_metrics(spark, d):
     j = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    r = j.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
+    r = compare.ranked(j, "lang", F.desc("n_chars"), F.col("doc_id"))
     good = F.col("quality") == 1
     hits, n, relevant, first = F.count_if((F.col("rank") <= 10) & good), F.count(F.lit(1)), F.count_if(good), F.min(F.when(good, F.col("rank")))
     return r.groupBy("lang").agg(F.round(hits / F.least(F.lit(10), n), 6).alias("precision_at_10"), F.round(hits / F.nullif(relevant, F.lit(0)), 6).alias("recall_at_10"), F.round(F.coalesce(1 / first, F.lit(0.0)), 6).alias("mrr"))
@@ -699,3 +698,56 @@ def snapshots_of_repositories(spark, d):
 def phase_totals(spark, d):
     e = table(spark, d, "events").where("value > 0").groupBy(F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("runs"), F.sum("value").alias("v"))
     return e.select("phase", "runs", F.round("v", 4).alias("total"), fv.per_second_rounded(F.col("runs"), F.col("v")).alias("per_second"))
+
+
+# retrieval, chunks, blobs read back
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents), c AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
+tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS l, unnest(words) AS term FROM w) WHERE term IN ('thtion', 'der', 'que') GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM tf JOIN df USING (term), c GROUP BY 1""")
+def bm25_search(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
+    return retrieval.bm25(texts, ["thtion", "der", "que"]).select(F.col("item").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH w AS (SELECT c_custkey AS id, unnest({_WORDS.format('c_name')}) AS t FROM customer), g AS (SELECT DISTINCT id, substr('  ' || t || ' ', i, 3) AS gram FROM (SELECT id, t, unnest(range(1, length(t) + 2)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), m AS (SELECT x.id AS item, y.id AS q, count(*) AS k FROM g x JOIN g y USING (gram) WHERE y.id % 100 = 0 GROUP BY 1, 2)
+SELECT q, item, round(k / (a.n + b.n - k), 6) AS similarity FROM m JOIN n a ON a.id = item JOIN n b ON b.id = q WHERE k / (a.n + b.n - k) >= 0.6""")
+def trigram_names(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_name").alias("name"))
+    q = c.where("item % 100 = 0").select(F.col("item").alias("q"), "name")
+    return retrieval.trigram_search(c, q, 0.6).select("q", "item", F.round("similarity", 6).alias("similarity"))
+
+
+_STEP = "SELECT source AS a, target AS b, CASE edge_type WHEN 'CALLS' THEN 0.5 ELSE 0.25 END AS w FROM edge WHERE edge_type IN ('CALLS', 'CONTAINS')"
+
+
+@query(carrier.sql(f""", st AS (SELECT a, b, w FROM ({_STEP}) UNION SELECT b, a, w FROM ({_STEP})), h AS (SELECT 'order:' || o_orderkey AS k FROM orders WHERE o_orderkey % 100 = 0),
+one AS (SELECT k, 1.0 AS s, 0 AS hop FROM h UNION ALL SELECT b, w, 1 FROM h JOIN st ON a = k), b1 AS (SELECT k, max(s) AS s FROM one GROUP BY 1), f1 AS (SELECT k, s, min(hop) AS hop FROM one JOIN b1 USING (k, s) GROUP BY 1, 2),
+two AS (SELECT * FROM f1 UNION ALL SELECT b, s * w, 2 FROM f1 JOIN st ON a = k WHERE hop = 1), b2 AS (SELECT k, max(s) AS s FROM two GROUP BY 1)
+SELECT k AS stable_key, s::DOUBLE AS score, min(hop) AS hop FROM two JOIN b2 USING (k, s) GROUP BY 1, 2"""))
+def graph_expansion(spark, d):
+    hits = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(carrier.key("order", "o_orderkey").alias("stable_key"), F.lit(1.0).alias("score"))
+    return retrieval.expand(carrier.graph(spark, d, ("CALLS", "CONTAINS")), hits, {"CALLS": 0.5, "CONTAINS": 0.25}, 2)
+
+
+@query("""WITH r AS (SELECT doc_id, unnest([1, 2, 5]) AS a, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id::VARCHAR AS path, a, a + 2 AS b, array_to_string(list_slice(l, a, a + 2), chr(10)) AS chunk FROM r WHERE a <= len(l))
+SELECT path, a AS start_line, b AS end_line, sha256(path || '|e' || a || '|' || a || '|' || b || '|' || chunk) AS chunk_id FROM c""")
+def semantic_chunks(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    ranges = files.select("path", F.explode(F.array(*map(F.lit, (1, 2, 5)))).alias("start_line")).withColumn("end_line", F.col("start_line") + 2).withColumn("entity", F.concat(F.lit("e"), F.col("start_line")))
+    return retrieval.chunks(files, ranges).select("path", "start_line", "end_line", "chunk_id")
+
+
+@query("""WITH b AS (SELECT min(page_id) AS page_id, sha256(html) AS h FROM pages WHERE html IS NOT NULL GROUP BY sha256(html)), e AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'source/' || h || page_id ELSE 'source/sha256/' || substr(h, 1, 2) || '/' || h END AS k FROM b), s AS (SELECT page_id % 13 = 0 AS bad, page_id % 11 = 0 AS gone, page_id % 7 = 0 AS longer, page_id % 5 = 0 AS other FROM e)
+SELECT CASE WHEN bad THEN 'MALFORMED_KEY' WHEN gone THEN 'MISSING' WHEN longer THEN 'WRONG_LENGTH' WHEN other THEN 'WRONG_HASH' ELSE 'VERIFIED' END AS status, count(*) AS n FROM s GROUP BY 1""")
+def blob_verification(spark, d):
+    p = table(spark, d, "pages").where("html IS NOT NULL").groupBy(F.sha2("html", 256).alias("h")).agg(F.min("page_id").alias("page_id"), F.any_value("html").alias("html"))
+    p = p.withColumn("object_key", F.when(F.col("page_id") % 13 == 0, F.concat(F.lit("source/"), "h", F.col("page_id").cast("string"))).otherwise(fv.object_key(F.col("h"))))
+    body = F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("x"))).when(F.col("page_id") % 5 == 0, F.translate("html", "aeio", "bfjp")).otherwise(F.col("html"))
+    stored = p.where("page_id % 11 <> 0").select("object_key", body.cast("binary").alias("content"))
+    return lifecycle.verify_blobs(stored, p.select("object_key", F.octet_length("html").alias("n_bytes"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
