@@ -4,11 +4,13 @@ Suffixes are sorted only where a repeat can be.  Every string of 200 bytes holds
 least of their 200-byte string (ties: all) are anchors.  Equal strings have equal anchors at equal places, so each repeated string
 shares the key (hash) of an anchor with its twin.
 
-1. One pass over the texts emits (key, text id, place) of each anchor, about 1.3 a hundred bytes; keys met once are dropped.
+1. One pass over the texts emits (key, text id, place) of each anchor, about 1.3 a hundred bytes; keys met once are dropped.  Only a
+   key's first two places in a task are compared with those of other tasks; its further ones are known to be repeats and are spread.
 2. Anchors left get their surroundings (at most 160 bytes before, 200 after; never beyond their text).
 3. Per key the distinct surroundings are deep-shallow sorted, rightwards and (reversed) leftwards.  Neighbours' common prefixes say
    which of them agree on d bytes left and 200 - d right of the anchor, that is, which of its strings are repeated.  Surroundings
-   found twice or more as a whole are repeated throughout.
+   found twice or more as a whole are repeated throughout.  A key with more than ``SORTED_MOST`` surroundings isn't sorted in one
+   task: the hashes of its 200-byte strings are grouped instead, spread in the same way.
 4. The runs are joined back to the texts, merged, and cut out.
 
 A text that several rows hold is worked on once and removed whole if it has 200 bytes; work is per distinct text.
@@ -84,13 +86,49 @@ def _arrow(columns, names):
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+class _Met:
+    """Which keys this task has met at two places at least; forgets the others, or all, beyond ``limit`` keys.
+
+    Forgetting only means that more rows are compared between tasks.
+    """
+
+    def __init__(self, limit: int = 200_000):
+        self.limit = limit
+        self.at: dict = {}
+
+    def sure(self, keys: list, where: list) -> list[bool]:
+        """Per (key, where), whether two other places of the key went out before."""
+        at, out = self.at, []
+        for k, w in zip(keys, where):
+            first = at.get(k)
+            out.append(first is True)
+            if first is None:
+                at[k] = w
+            elif first is not True and first != w:
+                at[k] = True
+        if len(at) > self.limit:
+            twice = {k: True for k, first in at.items() if first is True}
+            self.at = twice if 2 * len(twice) < self.limit else {}
+        return out
+
+
+def repeated(rows: DataFrame, key: list[str], where: list[str]) -> DataFrame:
+    """Rows whose key is met at two different places: those marked ``sure``, and by comparison the others."""
+    place = F.struct(*where)
+    # a mark of its own for the sure ones: they go to tasks of their own and meet nobody
+    w = Window.partitionBy(*key, "spread")
+    rows = rows.withColumn("spread", F.when(F.col("sure"), F.xxhash64(*where)))
+    met = rows.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w)})
+    return met.where("sure OR lo <> hi").drop("sure", "spread", "lo", "hi")
+
+
 def anchor_rows(texts: DataFrame) -> DataFrame:
     def work(batches):
-        powers = _Powers()
+        powers, met = _Powers(), _Met()
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                keys, ids, places = [], [], []
+                keys, ids, places, sure = [], [], [], []
                 for tid, t in zip(part.column("tid").to_pylist(), part.column("text").to_pylist()):
                     if tid in seen or not t:
                         continue
@@ -98,10 +136,12 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                         seen.add(tid)
                     at, key = anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), powers)
                     keys.append(key), places.append(at), ids.append(np.full(len(at), tid, np.int64))
+                    sure += met.sure(key.tolist(), [(tid, p) for p in at.tolist()])
                 if keys:
-                    yield _arrow([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "tid", "place"])
+                    columns = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))
+                    yield _arrow([*columns, pa.array(sure, pa.bool_())], ["key", "tid", "place", "sure"])
 
-    return map_arrow(texts, work, "key long, tid long, place int")
+    return map_arrow(texts, work, "key long, tid long, place int, sure boolean")
 
 
 def surroundings(joined: DataFrame) -> DataFrame:
@@ -114,7 +154,7 @@ def surroundings(joined: DataFrame) -> DataFrame:
         done: set = set()
         for batch in batches:
             for part in slices(batch):
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for tid, t, hits in zip(part.column("tid").to_pylist(), part.column("text").to_pylist(), part.column("hits").to_pylist()):
                     if tid in done:
                         continue
@@ -129,14 +169,17 @@ def surroundings(joined: DataFrame) -> DataFrame:
                         new = (key, mark) not in seen
                         if new and len(seen) < 1_000_000:
                             seen.add((key, mark))
-                        for column, v in zip(out, (key, mark, tid, p, around if new else None)):
+                        for column, v in zip(out, (key, mark, tid, p, around if new else None, new)):
                             column.append(v)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield _arrow([pa.array(v, t) for v, t in zip(out, types)], ["key", "mark", "tid", "place", "around"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+                yield _arrow([pa.array(v, t) for v, t in zip(out, types)], ["key", "mark", "tid", "place", "around", "fresh"])
 
-    return map_arrow(joined, work, "key long, mark long, tid long, place int, around binary")
+    return map_arrow(joined, work, "key long, mark long, tid long, place int, around binary, fresh boolean")
 
 
+#: Up to so many surroundings of one key are sorted in one task (about 360 bytes each); beyond, their strings are grouped by hash.
+SORTED_MOST = 100_000
+
 #: Up to so many surroundings are compared by pairs, from the common prefixes of neighbours.
 PAIRS_MOST = 16
 
@@ -234,6 +277,39 @@ def sorted_runs(distinct: DataFrame) -> DataFrame:
     return map_arrow(distinct, work, "key long, mark long, lo int, hi int")
 
 
+def string_rows(distinct: DataFrame) -> DataFrame:
+    """Rows (key, mark, around) -> a row (h1, h2, key, mark, d, sure) per 200-byte string; d bytes of it lie before the anchor."""
+
+    def work(batches):
+        import xxhash
+
+        met = _Met()
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for key, mark, b in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "around"))):
+                left = int.from_bytes(b[:2], "big")
+                for at in range(2, len(b) - LENGTH + 1):
+                    h = xxhash.xxh3_128_digest(b[at : at + LENGTH])
+                    for column, v in zip(out, (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), key, mark, left + 2 - at)):
+                        column.append(v)
+            sure = met.sure(list(zip(out[0], out[1], out[2], out[4])), out[3])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield _arrow([*(pa.array(v, t) for v, t in zip(out, types)), pa.array(sure, pa.bool_())], ["h1", "h2", "key", "mark", "d", "sure"])
+
+    return map_arrow(distinct, work, "h1 long, h2 long, key long, mark long, d int, sure boolean")
+
+
+def grouped_runs(distinct: DataFrame) -> DataFrame:
+    """What ``sorted_runs`` gives, for keys of any number of surroundings: repeated strings found by their 128-bit hashes."""
+    # with key and d: a string that holds two anchors is one place, met once under each
+    found = repeated(string_rows(distinct.select("key", "mark", "around")), ["h1", "h2", "key", "d"], ["mark"])
+    some = found.groupBy("key", "mark").agg((-F.max("d")).alias("lo"), (F.lit(LENGTH) - F.min("d")).alias("hi"))
+    left = F.conv(F.hex(F.substring("around", 1, 2)), 16, 10).cast("int")
+    size = F.octet_length("around") - 2
+    whole = distinct.where("twice").where(size >= LENGTH).select("key", "mark", (-left).alias("lo"), (size - left).alias("hi"))
+    return some.union(whole).groupBy("key", "mark").agg(F.min("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
+
+
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -244,18 +320,23 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_runs(texts: DataFrame) -> DataFrame:
+def find_runs(texts: DataFrame, sorted_most: int = SORTED_MOST) -> DataFrame:
     """texts (tid, text) -> tid, runs: one row per text that has repeats; runs are array<struct<a, b>> in bytes."""
-    w = Window.partitionBy("key")
-    where = F.struct("tid", "place")
-    met = anchor_rows(texts).withColumns({"lo": F.min(where).over(w), "hi": F.max(where).over(w)}).where("lo <> hi")
+    met = repeated(anchor_rows(texts), ["key"], ["tid", "place"])
     hits = materialize(met.groupBy("tid").agg(F.collect_set(F.struct("place", "key")).alias("hits")), "anchor-hits")
     around = materialize(surroundings(texts.join(hits, "tid")), "anchor-surroundings")
     rows = around.select("key", "mark", "tid", "place").distinct()
     counts = rows.groupBy("key", "mark").agg((F.count(F.lit(1)) > 1).alias("twice"))
     distinct = around.where("around IS NOT NULL").groupBy("key", "mark").agg(F.first("around").alias("around")).join(counts, ["key", "mark"])
-    together = distinct.select("key", "mark", "around", "twice").repartition("key").sortWithinPartitions("key")
-    runs = materialize(sorted_runs(together), "anchor-runs")
+    # at least as many as the distinct ones, since each task sends its own; read from two narrow columns
+    large = materialize(around.where("fresh").groupBy("key").count().where(F.col("count") > sorted_most).select("key"), "anchor-large-keys")
+    any_large = not large.isEmpty()
+    few = distinct.join(large, "key", "left_anti") if any_large else distinct
+    together = few.select("key", "mark", "around", "twice").repartition("key").sortWithinPartitions("key")
+    runs = sorted_runs(together)
+    if any_large:
+        runs = runs.union(grouped_runs(materialize(distinct.join(large, "key", "left_semi"), "anchor-large")))
+    runs = materialize(runs, "anchor-runs")
     placed = rows.join(runs, ["key", "mark"]).select("tid", (F.col("place") + F.col("lo")).alias("a"), (F.col("place") + F.col("hi")).alias("b"))
     copies = texts.where(F.octet_length("text") >= LENGTH).groupBy("tid").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).alias("b")).where("c > 1")
     everything = placed.union(copies.select("tid", F.lit(0).alias("a"), F.col("b").cast("int")))

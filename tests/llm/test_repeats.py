@@ -34,7 +34,7 @@ def brute(texts):
     return out
 
 
-def test_against_brute_force(spark):
+def texts_for_brute():
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -43,6 +43,11 @@ def test_against_brute_force(spark):
     for k in range(30):  # one passage in many surroundings, whole and cut at either end
         cut = r.randint(0, 60)
         texts.append(text(r.randint(0, 40)) + passage[cut // 2 : len(passage) - cut] + text(r.randint(0, 40)))
+    return texts
+
+
+def test_against_brute_force(spark):
+    texts = texts_for_brute()
     rows = [(i, t, 1) for i, t in enumerate(texts)]
     got = {x.doc_id: tuple(x)[1:] for x in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()}
     assert [got[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts])
@@ -50,3 +55,17 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert repeats.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_keys_are_grouped_by_hash(spark):
+    texts = [t for t in texts_for_brute() if t]
+    docs = repeats.with_id(spark.createDataFrame([(t,) for t in texts], "text string")).repartition(5)
+    runs = [{r.tid: repeats.merge(r.runs) for r in repeats.find_runs(docs, most).collect()} for most in (0, 3, repeats.SORTED_MOST)]
+    assert runs[0] == runs[1] == runs[2] and runs[0]
+
+
+def test_places_known_to_repeat():
+    met = repeats._Met(limit=4)
+    assert met.sure([1, 1, 1, 1], [(0, 0), (0, 0), (0, 1), (0, 2)]) == [False, False, False, True]
+    assert met.sure([2, 3, 4, 5], [(1, 0)] * 4) == [False] * 4 and met.at == {1: True}
+    assert met.sure([1, 2], [(9, 9), (9, 8)]) == [True, False]
