@@ -140,3 +140,25 @@ def test_ranks_within_groups(spark):
     got = {(r.channel, r.item): r["rank"] for r in compare.ranked(rows, "channel", F.desc("score"), F.col("item")).collect()}
     order = sorted(range(200), key=lambda i: (-((i * 37) % 11), i))
     assert got == {(g, i): k + 1 for g in ("a", "b", None) for k, i in enumerate(order)}
+
+
+def test_workers_keep_only_what_tasks_ask_for():
+    from loomgraph.sources import ship
+
+    made = []
+
+    def task(names):
+        def work(batches):
+            for b in batches:
+                for n in names:
+                    ship.kept(n, lambda: made.append(n))
+                yield b
+
+        return list(ship._released(work)([1, 2]))
+
+    ship._kept.clear()
+    assert task("ab") == [1, 2] and made == ["a", "b"]
+    task("b")
+    assert made == ["a", "b"] and set(ship._kept) == {"b"}
+    task("")
+    assert not ship._kept
