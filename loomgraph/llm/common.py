@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import materialize, release, shared_dir, table
-from loomgraph.sources.ship import map_arrow
+from loomgraph.sources.ship import kept, map_arrow
 
-__all__ = ["map_arrow", "materialize", "release", "shared_dir", "table"]
+__all__ = ["kept", "map_arrow", "materialize", "release", "shared_dir", "table"]
 
 #: Bytes of text worked on at once inside a Python worker; bounds the numpy temporaries (about 60 bytes per text byte).
 SLICE_BYTES = 1 << 20

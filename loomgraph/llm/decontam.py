@@ -36,6 +36,8 @@ WALKS, TABLES, BITS = 4, 12, 4
 BLOCK = 5000
 #: Items whose trigrams are looked up together; bounds the pairs (place, item) held at once.
 GROUP = 64
+#: Bytes of text searched at once, and numbers in the arrays made of them (8 bytes each); bound a worker's memory.
+PART_BYTES, CELLS = 1 << 18, 1 << 20
 #: Window sizes are powers of this.
 BAND = 1.1
 SCHEMA = "doc_id long, item_id long, distance int, end_word int"
@@ -192,7 +194,7 @@ class Items:
             at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
             stride = max(1, size // 10)  # the walk makes up for a shift by a tenth
             at = at[(at - (ends[row_of[at]] - counts[row_of[at]])) % stride == 0]
-            for part in np.array_split(at, max(1, len(at) // 20_000)):
+            for part in np.array_split(at, max(1, -(-len(at) * 3 * size // CELLS))):
                 if not len(part):
                     continue
                 row = row_of[part]
@@ -213,6 +215,11 @@ class Items:
         flat, holder = own
         first = np.searchsorted(flat, grams[p])
         n = np.searchsorted(flat, grams[p], side="right") - first
+        low, high = (int(holder.min()), int(holder.max())) if len(holder) else (0, 0)
+        if n.sum() > CELLS and low < high:  # half the items at a time
+            for half in (holder <= (low + high) // 2, holder > (low + high) // 2):
+                self._bounded(p, g, grams, (flat[half], holder[half]), row_of, hashes, counts, ends, found)
+            return
         place = np.repeat(p, n)
         item = holder[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         order = np.lexsort((place, item))
@@ -284,7 +291,7 @@ def _cleaner(shared):
     def work(batches):
         items = Items(*shared.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PART_BYTES):
                 keep = np.ones(part.num_rows, bool)
                 keep[[g[0] for g in (items.search(*words_of(part.column("text"))) if items.ids else [])]] = False
                 yield part.filter(pa.array(keep))
@@ -296,7 +303,7 @@ def _searcher(shared):
     def work(batches):
         items = Items(*shared.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PART_BYTES):
                 got = items.search(*words_of(part.column("text"))) if items.ids else []
                 ids = part.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())], [x.split()[0] for x in SCHEMA.split(", ")])

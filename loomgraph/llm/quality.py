@@ -12,7 +12,6 @@ results; a missing ``lang`` column counts as null.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, combine, map_arrow, mix64, slices, sums, table, text_bytes, word_hashes
+from .common import WordTable, combine, kept, map_arrow, mix64, slices, sums, table, text_bytes, word_hashes
 from .tokencount import CACHE_WORDS, counter, vocabulary_path
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -88,9 +87,8 @@ class Fertility(WordTable):
         return np.stack([n, size, np.array(fallback, dtype=np.int64), start], axis=1)
 
 
-@lru_cache(maxsize=1)
 def fertility(byte_path: str, piece_path: str) -> Fertility:
-    return Fertility(byte_path, piece_path)
+    return kept(("fertility", byte_path, piece_path), lambda: Fertility(byte_path, piece_path))
 
 
 def repeated_words(hashes: np.ndarray, counts: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -193,16 +191,16 @@ def measure(part: pa.RecordBatch, f: Fertility, bands: dict) -> pa.RecordBatch:
     cpt, share = word_chars / safe, n_fall / np.maximum(n_own, 1)
     failed = (counts < MIN_WORDS) | (100 * n_repeat > 30 * counts)
     size = np.searchsorted(SIZES, n_tok)
-    kept = []
+    passed = []
     for i, t in enumerate(texts):
         ok = not failed[i]
         if ok:
             lo, hi, most, least = bands[langs[i]] if langs[i] in bands else bands[main_script(t)]
             ok = bool(lo <= cpt[i] <= hi and share[i] <= most and even[i] >= least[size[i]])
-        kept.append(ok)
+        passed.append(ok)
     f8 = lambda x: pa.array(x, pa.float64(), mask=~has)
     i8 = lambda x: pa.array(x, pa.int64())
-    cols = [part.column("doc_id"), i8(counts), i8(word_chars), i8(n_symbols), i8(n_dup), i8(n_repeat), pa.array(failed), pa.array(kept, pa.bool_()), f8(cpt), f8(share), f8(even)]
+    cols = [part.column("doc_id"), i8(counts), i8(word_chars), i8(n_symbols), i8(n_dup), i8(n_repeat), pa.array(failed), pa.array(passed, pa.bool_()), f8(cpt), f8(share), f8(even)]
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
 

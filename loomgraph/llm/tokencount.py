@@ -13,14 +13,13 @@ does by default; repeated rows each give a row; an empty table gives none.  Othe
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, map_arrow, materialize, slices, sums, table
+from .common import WordTable, kept, map_arrow, materialize, slices, sums, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -96,9 +95,8 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return kept(("counter", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
