@@ -16,4 +16,9 @@ QUERIES = {
     "op9_decontamination": decontam.query,
     "op10_quality_rules": quality.query,
 }
-ORACLES = {"op1_warc_archive": warc.ORACLE, "op8_source_mixing": mixing.ORACLE}
+ORACLES = {
+    "op1_warc_archive": warc.ORACLE,
+    "op3_ngram_jaccard": neardup.ORACLE,
+    "op4_repeated_passages": repeats.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
+}

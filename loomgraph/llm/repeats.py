@@ -389,3 +389,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+#: Bytes as pairs of hexadecimal digits; strings are grouped by their MD5.
+ORACLE = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS k FROM texts)),
+again AS (SELECT m FROM strings GROUP BY m HAVING count(*) > 1),
+steps AS (SELECT doc_id, k, coalesce(k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) > 200, true) AS is_new FROM strings SEMI JOIN again USING (m)),
+numbered AS (SELECT doc_id, k, sum(CAST(is_new AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM steps),
+spans AS (SELECT doc_id, min(k) AS lo, max(k) + 200 AS hi FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS past FROM spans),
+cut AS (
+  SELECT doc_id, sum(hi - lo) AS removed, count(*) AS n, max(hi) AS last, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' ORDER BY lo) AS kept
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
