@@ -129,9 +129,14 @@ def bindings(imports: DataFrame, exports: DataFrame) -> DataFrame:
 
     imported is ``default`` for a default import; exports: file, name, default_export, entity.  Of several the least entity.
     """
+    by_default = F.coalesce(F.col("imported") == "default", F.lit(False))
+    asked = imports.select("file_path", "local", "target_file", by_default.alias("by_default"), F.when(by_default, "").otherwise(F.col("imported")).alias("name")).distinct()
+    # one entity a name and one a default import before files meet, so a file's imports don't meet all its exports
     e = exports.select(F.col("file").alias("target_file"), "name", "default_export", "entity")
-    same = F.when(F.col("imported") == "default", F.col("default_export")).otherwise(F.col("name") == F.col("imported"))
-    return imports.join(e, "target_file").where(same).groupBy("file_path", "local").agg(F.min("entity").alias("entity"))
+    named = e.select("target_file", F.lit(False).alias("by_default"), "name", "entity")
+    offered = named.union(e.where("default_export").select("target_file", F.lit(True), F.lit(""), "entity"))
+    offered = offered.groupBy("target_file", "by_default", "name").agg(F.min("entity").alias("entity"))
+    return asked.join(offered, ["target_file", "by_default", "name"]).groupBy("file_path", "local").agg(F.min("entity").alias("entity"))
 
 
 #: Which kind a bare name means first.

@@ -4,6 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import resolve
 from loomgraph.plans.queries import ORACLES, QUERIES
 from tests.oracle import actual, expected
 
@@ -23,3 +24,28 @@ def matches_sql(spark, name, folder, **tables):
 def test_scan_takes_more_files_than_a_folder_scan(spark, tmp_path):
     pages = spark.range(0, 30_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>").alias("html"))
     assert matches_sql(spark, "scan_classification", tmp_path / "t", pages=pages)
+
+
+def joined_rows(spark, df):
+    """Rows of ``df``, and the most rows that a join made for one of the executions it took."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    begin = store.executionsList().size()
+    rows = df().collect()
+    most = 0
+    for i in range(begin, store.executionsList().size()):
+        ident = store.executionsList().apply(i).executionId()
+        metrics, nodes = store.executionMetrics(ident), store.planGraph(ident).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                    most = max(most, int(metrics.apply(m.accumulatorId()).replace(",", "")))
+    return rows, most
+
+
+def test_bindings_meet_each_export_once(spark):
+    k = F.col("id")
+    imports = spark.range(300).select(F.concat(F.lit("f"), k).alias("file_path"), F.lit("t").alias("target_file"), F.when(k == 7, "default").when(k != 8, "n").alias("imported"), F.lit("l").alias("local"))
+    exports = spark.range(300).select(F.lit("t").alias("file"), F.when(k > 0, "n").otherwise("").alias("name"), F.when(k > 1, k > 5).alias("default_export"), F.format_string("e%03d", k).alias("entity"))
+    rows, most = joined_rows(spark, lambda: resolve.bindings(imports, exports))
+    assert {r.file_path: r.entity for r in rows} == {f"f{i}": "e006" if i == 7 else "e001" for i in range(300) if i != 8}
+    assert 0 < most <= 300
