@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.operators.compare import cosine
 from loomgraph.operators.graph import CodeGraph
-from loomgraph.sources.shared import materialize
+from loomgraph.sources.shared import materialize, release
 
 #: Queries held against all vectors at once, about; a block of them is what is broadcast.
 QUERY_BLOCK = 10_000
@@ -40,12 +40,44 @@ def trigrams(name: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))))
 
 
+def _codes(grams: Column) -> Column:
+    """Sorted longs for trigrams: three code points of 21 bits each, so different ones differ."""
+    point = lambda g, i: F.ascii(F.substr(g, F.lit(i), F.lit(1))).cast("long")
+    return F.array_sort(F.transform(grams, lambda g: F.shiftleft(point(g, 1), 42).bitwiseOR(F.shiftleft(point(g, 2), 21)).bitwiseOR(point(g, 3))))
+
+
 def trigram_search(names: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
-    """(item, name), (q, name) -> (q, item, similarity) where trigram sets share ``least`` of their union, by an equi-join on trigrams."""
-    x = names.select("item", trigrams(F.col("name")).alias("g")).select("item", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    y = queries.select("q", trigrams(F.col("name")).alias("g")).select("q", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    met = x.join(y, "gram").groupBy("q", "item", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    return met.select("q", "item", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
+    """(item, name), (q, name) -> (q, item, similarity) where trigram sets share ``least`` of their union.
+
+    Names of equal sets are one set until the end.  Sets of n and m trigrams must share k = least / (1 + least) * (n + m) of them, so
+    they share one of their first n - k + 1 and m - k + 1 in any order common to both; with frequent ones last, few sets meet by chance.
+    """
+    x, y = (df.select(key, _codes(trigrams(F.col("name"))).alias("g")).where(F.size("g") > 0) for df, key in ((names, "item"), (queries, "q")))
+    both_kinds = x.select("g", F.lit(False).alias("asked")).union(y.select("g", F.lit(True)))
+    sets = both_kinds.groupBy("g").agg((~F.min("asked")).alias("held"), F.max("asked").alias("asked")).withColumn("sid", F.monotonically_increasing_id())
+    sets = materialize(sets, "trigram-sets")
+    grams = sets.select("sid", "held", "asked", F.explode("g").alias("gram"))
+    often = grams.where("held").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    ordered = grams.join(often, "gram", "left").groupBy("sid", "held", "asked").agg(F.sort_array(F.collect_list(F.struct("c", "gram")))["gram"].alias("g"))
+    ordered = materialize(ordered.withColumn("n", F.size("g")), "trigram-order")
+
+    # rounded down a little, so that no pair at the limit is lost
+    shared = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-6)).cast("int")
+    alone = F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-6)).cast("int")
+    held = ordered.where("held").select(F.col("sid").alias("x"), F.col("g").alias("gx"), "n")
+    sizes = F.broadcast(held.select("n").distinct())
+    asked = ordered.where("asked").select(F.col("sid").alias("y"), F.col("g").alias("gy"), F.col("n").alias("m")).crossJoin(sizes).withColumn("k", shared).where("k <= least(n, m)")
+    asked = asked.select("*", F.explode(F.slice("gy", F.lit(1), F.col("m") - F.col("k") + 1)).alias("gram"))
+    held = held.where(F.col("n") >= alone).select("*", F.posexplode(F.slice("gx", F.lit(1), F.col("n") - alone + 1)).alias("pos", "gram"))
+    met = held.join(asked, ["gram", "n"]).withColumn("both", F.array_intersect("gx", "gy"))
+    # most fail at the size; of the others a pair counts at the first trigram it shares
+    met = met.where((F.col("pos") <= F.col("n") - F.col("k")) & (F.size("both") >= F.col("k")) & (F.col("both")[0] == F.col("gram")))
+    pairs = materialize(met.select("x", "y", "n", "m", F.size("both").alias("both")), "trigram-pairs")
+    release(ordered)
+    similarity = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    pairs = pairs.select("x", "y", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    of = lambda rows, key, sid: rows.join(sets.select("g", F.col("sid").alias(sid)), "g").select(key, sid)
+    return pairs.join(of(y, "q", "y"), "y").join(of(x, "item", "x"), "x").select("q", "item", "similarity")
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:

@@ -4,7 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import resolve
+from loomgraph.operators import resolve, retrieval
 from loomgraph.plans.queries import ORACLES, QUERIES
 from tests.oracle import actual, expected
 
@@ -49,3 +49,16 @@ def test_bindings_meet_each_export_once(spark):
     rows, most = joined_rows(spark, lambda: resolve.bindings(imports, exports))
     assert {r.file_path: r.entity for r in rows} == {f"f{i}": "e006" if i == 7 else "e001" for i in range(300) if i != 8}
     assert 0 < most <= 300
+
+
+def test_trigrams_meet_by_rare_ones(spark):
+    names = spark.range(400).select(F.col("id").alias("item"), F.format_string("Customer#%09d", F.col("id") % 200).alias("name"))
+    names = names.union(spark.createDataFrame([(1000, "été 𝒳y"), (1001, "Été"), (1002, None), (1003, "été 𝒳yz")], "item long, name string"))
+    queries = names.where("item % 100 < 4 OR item >= 1000").withColumnRenamed("item", "q")
+    rows, most = joined_rows(spark, lambda: retrieval.trigram_search(names, queries, 0.75))
+    sets = {r["item"]: frozenset(r.g) for r in names.select("item", retrieval.trigrams(F.col("name")).alias("g")).collect()}
+    near = lambda a, b: round(len(a & b) / len(a | b), 9)
+    asked = {r.q for r in queries.collect()}
+    want = sorted((q, i, near(sets[q], g)) for q in asked for i, g in sets.items() if sets[q] & g and near(sets[q], g) >= 0.75)
+    assert sorted((r.q, r["item"], round(r.similarity, 9)) for r in rows) == want
+    assert most <= max(len(want), sum(map(len, sets.values())))
