@@ -77,25 +77,40 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) -
     packages: name, root, entry (what the package says its file is for ``subpath``, here of the package itself; null: ./src/index).
     In this order: a workspace package's file, a relative file, an external package; else unresolved, with the reason.
     """
-    i = owning_package(imports.select("file_path", "specifier").distinct(), packages)
+    pairs = materialize(imports.select("file_path", "specifier").distinct(), "imports")
+    # what a specifier names is worked out once for each folder that asks, and written: the optimizer would repeat it in each candidate
+    folder = F.when(F.col("file_path").isNotNull(), directory_name(F.col("file_path")))
+    asked = pairs.select(folder.alias("folder"), "specifier").distinct()
+    i = owning_package(asked, packages)
     entry = packages.select(F.col("name").alias("package"), "entry")
     i = i.join(entry, "package", "left")
     below = F.substring("specifier", F.length("package") + 2, F.length("specifier"))
     wanted = F.when(F.col("specifier") == F.col("package"), F.coalesce("entry", F.lit("./src/index"))).otherwise(F.concat(F.lit("./"), below))
-    inner = joined_path(F.col("package_root"), wanted)
-    below_root = (F.col("package_root") == ".") | F.startswith(inner, F.concat("package_root", F.lit("/")))
-    inner = F.when(wanted.startswith("./") & below_root, inner)
-    relative = joined_path(directory_name(F.col("file_path")), F.col("specifier"))
     by_package, by_path = F.col("package").isNotNull(), F.col("package").isNull() & F.col("specifier").startswith(".")
-    candidates = F.when(by_package, entry_candidates(inner, F.col("package_root"))).when(by_path, relative_candidates(relative))
-    keys = ["file_path", "specifier"]
-    i = i.withColumn("candidates", F.when(F.when(by_package, inner).otherwise(relative).isNotNull(), candidates))
-    found = i.join(first_hit(i, keys, files), keys, "left")
+    i = i.withColumn("wanted", wanted)
+    base = F.when(by_package, F.when(F.col("wanted").startswith("./"), F.col("package_root"))).when(by_path, F.col("folder"))
+    i = i.withColumn("base", base)
+    means = joined_path(F.col("base"), F.when(by_package, F.col("wanted")).otherwise(F.col("specifier")))
+    i = materialize(i.withColumn("means", F.when(F.col("base").isNotNull(), means)), "specifiers")
+    below_root = (F.col("package_root") == ".") | F.startswith("means", F.concat("package_root", F.lit("/")))
+    # paths that many specifiers mean are looked up once
+    meant = i.where("means IS NOT NULL").where(F.when(by_package, below_root).otherwise(True)).select("means", "package_root").distinct()
+    of_root = F.when(F.col("package_root").isNotNull(), entry_candidates(F.col("means"), F.col("package_root"))).otherwise(relative_candidates(F.col("means")))
+    tried = materialize(meant.withColumn("candidates", of_root), "candidates")
+    hits_table = materialize(first_hit(tried, ["means", "package_root"], files), "hits")
+    release(tried)
+    same_root = F.col("package_root").eqNullSafe(F.col("hit_root"))
+    hits = hits_table.select(F.col("means").alias("hit"), F.col("package_root").alias("hit_root"), "file")
+    found = i.join(hits, (F.col("means") == F.col("hit")) & same_root, "left")
     external = package_reference(F.col("specifier"))
     kind = F.when(F.col("file").isNotNull(), "FILE").when(~by_package & ~by_path & external.isNotNull(), "EXTERNAL_PACKAGE").otherwise("UNRESOLVED")
     target = F.coalesce("file", F.when(~by_package & ~by_path, external["package"]))
-    reason = F.when(kind == "UNRESOLVED", F.when(by_package | by_path, "OUTSIDE_ANALYSIS_SCOPE").otherwise("UNSUPPORTED_SYNTAX"))
-    return found.select("file_path", "specifier", kind.alias("kind"), target.alias("target"), reason.alias("reason"))
+    reason = F.when(F.col("kind") == "UNRESOLVED", F.when(by_package | by_path, "OUTSIDE_ANALYSIS_SCOPE").otherwise("UNSUPPORTED_SYNTAX"))
+    named = found.select("folder", "specifier", "package", kind.alias("kind"), target.alias("target"))
+    named = materialize(named.select(F.col("folder").alias("of_folder"), F.col("specifier").alias("of"), "kind", "target", reason.alias("reason")), "resolved")
+    release(i, hits_table)
+    of = folder.eqNullSafe(F.col("of_folder")) & F.col("specifier").eqNullSafe(F.col("of"))
+    return pairs.join(named, of).select("file_path", "specifier", "kind", "target", "reason")
 
 
 def star_exports(own: DataFrame, stars: DataFrame, top_level: DataFrame) -> DataFrame:

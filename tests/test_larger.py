@@ -62,3 +62,15 @@ def test_trigrams_meet_by_rare_ones(spark):
     want = sorted((q, i, near(sets[q], g)) for q in asked for i, g in sets.items() if sets[q] & g and near(sets[q], g) >= 0.75)
     assert sorted((r.q, r["item"], round(r.similarity, 9)) for r in rows) == want
     assert most <= max(len(want), sum(map(len, sets.values())))
+
+
+def test_resolution_plans_stay_small(spark):
+    files = spark.createDataFrame([("src/a.ts",), ("pk/src/b.ts",), ("fs",)], "path string")
+    packages = spark.createDataFrame([("pk", "pk", "pk/src/b.ts"), ("@w/q", "pk", "./dist/b.js")], "name string, root string, entry string")
+    asked = {("src/c.ts", "./a"): ("FILE", "src/a.ts"), ("src/c.ts", "src/a"): ("EXTERNAL_PACKAGE", "src"), ("src/c.ts", "pk"): ("UNRESOLVED", None), ("src/c.ts", "@w/q"): ("FILE", "pk/src/b.ts"), ("src/c.ts", None): ("UNRESOLVED", None), (None, "./a"): ("UNRESOLVED", None), ("c.ts", "./src/a.js"): ("FILE", "src/a.ts")}
+    store = spark._jsparkSession.sharedState().statusStore()
+    begin = store.executionsList().size()
+    rows = resolve.resolve_imports(spark.createDataFrame(list(asked), "file_path string, specifier string"), files, packages).collect()
+    assert {(r.file_path, r.specifier): (r.kind, r.target) for r in rows} == asked and len(rows) == len(asked)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(begin, store.executionsList().size())]
+    assert plans and max(map(len, plans)) < 100_000
