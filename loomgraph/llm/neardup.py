@@ -136,8 +136,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, salts: np.ndarray) -> DataFrame:
-    """(f0, f1, keys, salts): each set's first floor(n / 5) + 1 elements in the global order.
+    """(f0, keys, salts): each set's first floor(n / 5) + 1 elements in the global order.
 
+    Keys travel with half of the fingerprint: of sets that have it in common each takes the keys of all.
     ``common``: hashes, rarest first; ``salts``: in how many parts the sets that hold each are dealt (0: in one).  The row's salts
     are null where none of its keys is dealt in parts, else a part from 1 on for each such key and 0 for the others.
     """
@@ -152,7 +153,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, salts: np.ndarray) -> DataFram
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
-                f0, f1, keys, dealt = [], [], [], []
+                f0, keys, dealt = [], [], []
                 for s in shingle_sets(part):
                     if not len(s):
                         continue
@@ -173,27 +174,27 @@ def prefixes(docs: DataFrame, common: np.ndarray, salts: np.ndarray) -> DataFram
                         of = parts[rank][: max(0, p - (n - len(hit)))]
                         if of.any():
                             salt = np.concatenate((np.zeros(p - len(of), np.int64), np.where(of > 0, 1 + b % np.maximum(of, 1), 0))).tolist()
-                    f0.append(a), f1.append(b), dealt.append(salt)
+                    f0.append(a), dealt.append(salt)
                     keys.append(_signed(np.ascontiguousarray(s[:p])))
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(dealt, pa.list_(pa.int32()))], ["f0", "f1", "keys", "salts"])
+                yield pa.RecordBatch.from_arrays([pa.array(f0, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(dealt, pa.list_(pa.int32()))], ["f0", "keys", "salts"])
 
-    return map_arrow(docs.select("text"), work, "f0 long, f1 long, keys array<long>, salts array<int>")
+    return map_arrow(docs.select("text"), work, "f0 long, keys array<long>, salts array<int>")
 
 
 def collapsed(keyed: DataFrame) -> DataFrame:
-    """(key, f0, f1) of the keys that two sets or more hold; of keys that the same sets hold, the least.
+    """(key, f0) of the keys that two sets or more hold; of keys that the same sets hold, the least.
 
-    The sets that hold a key are told apart by two sums of their fingerprints, 48 bits a set each.  Keys dealt in parts all stay.
+    The sets that hold a key are told apart by two sums over their f0, 48 bits a set each.  Keys dealt in parts all stay.
     """
-    dealt = keyed.repartition("key", "salt").dropDuplicates(["key", "salt", "f0", "f1"])
+    dealt = keyed.repartition("key", "salt").dropDuplicates(["key", "salt", "f0"])
     w = Window.partitionBy("key", "salt")
     m = F.count(F.lit(1)).over(w)
-    h0, h1 = (F.sum(F.shiftright(c, 16)).over(w) for c in ("f0", "f1"))
+    h0, h1 = (F.sum(F.shiftright(c, 16)).over(w) for c in (F.col("f0"), F.xxhash64("f0")))
     hot = F.col("salt") > 0
     met = dealt.withColumns({"m": m, "h0": F.when(hot, F.col("key")).otherwise(h0), "h1": F.when(hot, F.lit(0)).otherwise(h1)}).where((F.col("m") > 1) | hot)
-    return met.groupBy("h0", "h1", "f0", "f1").agg(F.min("key").alias("key")).select("key", "f0", "f1")
+    return met.groupBy("h0", "h1", "f0").agg(F.min("key").alias("key")).select("key", "f0")
 
 
 def _xor(a: str, b: str) -> str:
@@ -227,13 +228,13 @@ def _bounded_wide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """``rows`` with each text compressed by itself (level 3), which takes two thirds of what a shuffle's own codec makes of it."""
+    """``rows`` with each text compressed by itself (level 9), which takes two thirds of what a shuffle's own codec makes of it."""
     kept = [c for c in rows.columns if c != "text"]
 
     def work(batches):
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=9).compress
         for batch in batches:
             for part in slices(batch):
                 packed = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
@@ -370,9 +371,9 @@ def join_links(docs: DataFrame):
     sets = materialize(sets, "shingle-sets")
 
     part = F.expr("coalesce(salts[pos], 0)")
-    keyed = prefixes(docs, common, salts).select("f0", "f1", "salts", F.posexplode("keys").alias("pos", "key")).select("key", part.alias("salt"), "f0", "f1")
-    # were two sets of one fingerprint to differ in size, both would take both's keys: nothing is lost
-    met = collapsed(keyed).join(sets.select("f0", "f1", "sid", "band"), ["f0", "f1"])
+    keyed = prefixes(docs, common, salts).select("f0", "salts", F.posexplode("keys").alias("pos", "key")).select("key", part.alias("salt"), "f0")
+    # sets that have f0 in common all take the keys of all; a link would be lost only if no third set had f0 apart and shared its key
+    met = collapsed(keyed).join(sets.select("f0", "sid", "band"), "f0")
     tiles = materialize(met.select("key", "sid", F.explode(F.array("band", F.col("band") + 1)).alias("tile")), "shingle-tiles")
 
     x, y = sets.drop("wide").alias("x"), sets.drop("wide").alias("y")

@@ -74,3 +74,10 @@ def test_resolution_plans_stay_small(spark):
     assert {(r.file_path, r.specifier): (r.kind, r.target) for r in rows} == asked and len(rows) == len(asked)
     plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(begin, store.executionsList().size())]
     assert plans and max(map(len, plans)) < 100_000
+
+
+def test_shingle_keys_travel_with_half_a_fingerprint(spark):
+    from loomgraph.llm import neardup
+
+    keyed = spark.createDataFrame([(k, 0, f) for f in (1 << 40, 3 << 50, 3 << 50) for k in (5, 6)] + [(7, 0, 1 << 40)], "key long, salt int, f0 long")
+    assert sorted(map(tuple, neardup.collapsed(keyed).collect())) == [(5, 1 << 40), (5, 3 << 50)]
