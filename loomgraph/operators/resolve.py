@@ -145,7 +145,7 @@ def bindings(imports: DataFrame, exports: DataFrame) -> DataFrame:
     imported is ``default`` for a default import; exports: file, name, default_export, entity.  Of several the least entity.
     """
     by_default = F.coalesce(F.col("imported") == "default", F.lit(False))
-    asked = imports.select("file_path", "local", "target_file", by_default.alias("by_default"), F.when(by_default, "").otherwise(F.col("imported")).alias("name")).distinct()
+    asked = imports.select("file_path", "local", "target_file", by_default.alias("by_default"), F.when(by_default, "").otherwise(F.col("imported")).alias("name"))
     # one entity a name and one a default import before files meet, so a file's imports don't meet all its exports
     e = exports.select(F.col("file").alias("target_file"), "name", "default_export", "entity")
     named = e.select("target_file", F.lit(False).alias("by_default"), "name", "entity")

@@ -614,9 +614,9 @@ def symbol_lookup(spark, d):
     return resolve.symbols(e.select("file_path", F.col("qualified_name").alias("name")).distinct(), e)
 
 
-@query("""SELECT 'f' || o_custkey AS file_path, 'l' || l_partkey AS local, min('e' || p_partkey || '.' || p_size) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey % 10 = l_partkey % 10 AND CASE WHEN l_linenumber = 1 THEN p_partkey % 20 = 3 ELSE p_size = l_linenumber END WHERE o_custkey % 10 = 0 GROUP BY 1, 2""")
+@query("""SELECT 'f' || o_custkey AS file_path, 'l' || l_partkey AS local, min('e' || p_partkey || '.' || p_size) AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey % 10 = l_partkey % 10 AND CASE WHEN l_linenumber = 1 THEN p_partkey % 20 = 3 ELSE p_size = l_linenumber END GROUP BY 1, 2""")
 def import_bindings(spark, d):
-    orders = table(spark, d, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     i = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     i = i.select(F.expr("concat('f', o_custkey) AS file_path"), (F.col("l_partkey") % 10).alias("target_file"), F.expr("CASE WHEN l_linenumber = 1 THEN 'default' ELSE cast(l_linenumber AS string) END AS imported"), F.expr("concat('l', l_partkey) AS local"))
     e = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("file"), F.col("p_size").cast("string").alias("name"), (F.col("p_partkey") % 20 == 3).alias("default_export"), F.expr("concat('e', p_partkey, '.', p_size) AS entity"))
